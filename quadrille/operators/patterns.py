@@ -216,7 +216,7 @@ def minus(left: DataFrame, right: DataFrame, maybe: list[str] | None = None) ->
             if keys:
                 part = part.join(_with_mask(right, maybe, b).select(*keys), keys, "left_anti")
         pieces.append(part)
-    return reduce(DataFrame.unionAll, pieces)
+    return reduce(DataFrame.unionByName, pieces)
 
 
 def exists(left: DataFrame, right: DataFrame) -> DataFrame:

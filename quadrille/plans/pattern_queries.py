@@ -290,12 +290,12 @@ def subquery_best_order(src):
 
 @query("J9", "theta_join_on_sum", data="customers suppliers", sql=f"""
     SELECT c.s AS c, s.s AS sup FROM {_q(BALANCE)} c JOIN {_q(BALANCE)} s
-      ON abs(cast(c.o AS double) - cast(s.o AS double)) <= 5
+      ON abs(cast(c.o AS double) - cast(s.o AS double)) <= 500
     WHERE c.s LIKE '%customer%' AND s.s LIKE '%supplier%'""")
 def theta_join_on_sum(src):
     c = pt.match(src.quads("customers"), "?c", BALANCE, "?b")
     s = pt.match(src.quads("suppliers"), "?sup", BALANCE, "?sb")
-    return lex(pt.theta_join(c, s, band=(F.col("b.value"), F.col("sb.value"), 5.0)), "c", "sup")
+    return lex(pt.theta_join(c, s, band=(F.col("b.value"), F.col("sb.value"), 500.0)), "c", "sup")
 
 
 @query("J10", "order_customer_lookup", sql="""

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.plans import datasets as d
+from quadrille.session import cut
 
 
 @dataclass(frozen=True)
@@ -33,8 +34,14 @@ class Source:
         return d.table(self.spark, self.sf_dir, name)
 
     def quads(self, *names: str) -> DataFrame:
+        """The virtual quads: right for patterns that bind the predicate."""
         return d.quads(self.spark, self.sf_dir, *names)
 
+    def loaded(self, *names: str) -> DataFrame:
+        """The quads materialised once: right for operators that scan them
+        several times or in every round of a loop."""
+        return cut(self.quads(*names))
+
 
 def query(ids: str, name: str, sql: str | None = None, data: str = ""):
     """Register ``fn(Source) -> DataFrame``; ``data`` names the datasets that
@@ -45,7 +52,7 @@ def query(ids: str, name: str, sql: str | None = None, data: str = ""):
         if sql is not None:
             body = sql.strip()
             if data:
-                head = f"WITH RECURSIVE quads AS ({d.quads_sql(*data.split())})"
+                head = f"WITH RECURSIVE quads AS MATERIALIZED ({d.quads_sql(*data.split())})"
                 body = (head + ", " + body[5:]) if body[:5].upper() == "WITH " else f"{head} {body}"
             # engines may evaluate a cast before the filter that protects it
             text = re.sub(r"(?<![_\w])cast\(", "try_cast(", body)
