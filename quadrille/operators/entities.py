@@ -95,7 +95,7 @@ def project_kinds(quads: DataFrame, intersections: DataFrame | None = None) -> D
             .when((F.col("kind") == "Class") & F.col("_eq"), "Defined").otherwise(F.col("kind")))
     out = out.select("iri", kind.alias("kind"))
     if intersections is None:
-        return out
+        return cut(out)
     heads = intersections.select(F.col("expr").alias("iri"), F.lit(True).alias("_head")).distinct()
     members = intersections.filter("issue is null").select(F.col("member").alias("iri"), F.lit(True).alias("_member")).distinct()
     owners = expression_references(quads, intersections).groupBy(F.col("owner").alias("iri")).agg(
@@ -108,7 +108,7 @@ def project_kinds(quads: DataFrame, intersections: DataFrame | None = None) -> D
             .when(F.col("_member") & named & (k == "Resource"), "Class")
             .when(F.col("_defined").isNotNull() & named & (k == "Resource"), "Class").otherwise(k))
     final = F.when(F.col("_defined") & named & step.isin("Class", "Defined"), "Defined").otherwise(step)
-    return out.select("iri", final.alias("kind"))
+    return cut(out.select("iri", final.alias("kind")))
 
 
 def project_entities(quads: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def intersections(quads: DataFrame) -> DataFrame:
                F.lit(None).cast("string").alias("member")]
     bad = clear.join(issues, ["g", "head"]).select("expr", "g", *nothing, "issue")
     vague = per.filter("n <> 1 or lit <> 0").select("expr", "g", *nothing, F.lit("ambiguous").alias("issue"))
-    return good.unionByName(bad).unionByName(vague)
+    return cut(good.unionByName(bad).unionByName(vague))
 
 
 def expression_references(quads: DataFrame, conj: DataFrame) -> DataFrame:

@@ -58,8 +58,10 @@ def reach(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | Non
     first = step.withColumnRenamed("src", "start").withColumnRenamed("dst", "node")
     if seeds is not None:
         first = first.join(seeds.select("start").distinct(), "start", "left_semi")
-    frontier = first.withColumn("distance", F.lit(1))
+    frontier = cut(first.withColumn("distance", F.lit(1)))
     seen = frontier
+    if frontier.isEmpty():
+        return seen
     depth = 1
     while max_depth is None or depth < max_depth:
         depth += 1

@@ -6,8 +6,6 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-MAX_ROUNDS = 200
-
 
 def local_session(cores: str = "*", app: str = "quadrille") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -40,6 +38,12 @@ def _checkpoint_folder(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, for tables an operator writes and reads back."""
+    _checkpoint_folder(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and drop its lineage.
 
