@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quadrille import model as m
 from quadrille.operators.paths import reach
-from quadrille.session import cut
+from quadrille.session import cut, spread
 
 SPAN_DISTANCE = 4
 NAMING = [m.LABEL, m.SEE_ALSO, m.ALT]
-TOKENS = T.ArrayType(T.StructType([
-    T.StructField("line", T.IntegerType()), T.StructField("start", T.IntegerType()),
-    T.StructField("end", T.IntegerType()), T.StructField("norm", T.StringType())]))
+TOKENS = T.StructType([
+    T.StructField("line", T.ArrayType(T.IntegerType())), T.StructField("start", T.ArrayType(T.IntegerType())),
+    T.StructField("end", T.ArrayType(T.IntegerType())), T.StructField("norm", T.ArrayType(T.StringType()))])
 
 _BREAKS = "\n\r\v\f\x85  "
 _TOKEN = re.compile(rf"[{_BREAKS}]|\w+(?:['’ʼ‘`´]\w+)*|[^\w\s]")
@@ -28,24 +28,28 @@ _QUOTES = str.maketrans({c: "'" for c in "’ʼ‘`´"} | {c: '"' for c in "“
 
 
 @F.pandas_udf(TOKENS)
-def _tokens(texts: pd.Series) -> pd.Series:
-    """Code point offsets of every word and punctuation mark; Spark's regex
-    functions return no positions."""
-    def scan(text):
-        out, line = [], 0
+def _tokens(texts: pd.Series) -> pd.DataFrame:
+    """Code point offsets of every word and punctuation mark, as parallel
+    lists; Spark's regex functions return no positions."""
+    rows = []
+    for text in texts:
+        lines, starts, ends, norms, line = [], [], [], [], 0
         for hit in _TOKEN.finditer(text or ""):
             word = hit.group()
             if word in _BREAKS:
                 line += 1
-            else:
-                out.append((line, hit.start(), hit.end(), word.lower().translate(_QUOTES)))
-        return out
-    return texts.map(scan)
+                continue
+            lines.append(line)
+            starts.append(hit.start())
+            ends.append(hit.end())
+            norms.append(word.lower().translate(_QUOTES))
+        rows.append((lines, starts, ends, norms))
+    return pd.DataFrame(rows, columns=["line", "start", "end", "norm"])
 
 
 def tokenize(docs: DataFrame) -> DataFrame:
     """(doc_id, tokens): tokens of the whole text with line and offsets."""
-    return docs.select("doc_id", _tokens("text").alias("tokens"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", _tokens("text").alias("tokens"))
 
 
 # -- dictionary -------------------------------------------------------------
@@ -82,7 +86,7 @@ def phrases(aliases: DataFrame) -> DataFrame:
     """(key, length, canonical): aliases as token keys; the smallest canonical
     name wins a shared phrase.  ``a+b`` aliases are span rules instead."""
     rows = aliases.filter(~F.col("alias").contains("+")).select("canonical", _tokens("alias").alias("t"))
-    keyed = rows.select("canonical", F.array_join(F.transform("t", lambda x: x["norm"]), " ").alias("key"), F.size("t").alias("length"))
+    keyed = rows.select("canonical", F.array_join("t.norm", " ").alias("key"), F.size("t.norm").alias("length"))
     return keyed.filter("length > 0").groupBy("key", "length").agg(F.min("canonical").alias("canonical"))
 
 
@@ -99,20 +103,22 @@ def phrase_hits(tokens: DataFrame, entries: DataFrame) -> DataFrame:
     """Every dictionary phrase at every place, overlaps included:
     ``(doc_id, line, first, length, start, end, key, canonical)``."""
     entries = cut(entries)
-    lengths = entries.agg(F.array_sort(F.collect_set("length"))).scalar()   # one small number per phrase length
-    n = F.size("tokens")
-    sized = tokens.withColumn("_lens", lengths).filter(n > 0)
-
-    def gram(i: Column, size: Column) -> Column:
-        part = F.slice("tokens", i, size)
-        whole = (i + size - 1 <= n) & (F.get(part, 0)["line"] == F.get(part, size - 1)["line"])
-        return F.when(whole, F.struct(
-            F.get(part, 0)["line"].alias("line"), i.alias("first"), size.alias("length"), F.get(part, 0)["start"].alias("start"),
-            F.get(part, size - 1)["end"].alias("end"), F.array_join(F.transform(part, lambda x: x["norm"]), " ").alias("key")))
-
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform("_lens", lambda size: gram(i, size))))
-    rows = sized.select("doc_id", F.explode(F.array_compact(grams)).alias("g")).select("doc_id", "g.*")
-    return rows.join(entries.select("key", "length", "canonical"), ["key", "length"])
+    lengths = sorted(r[0] for r in entries.select("length").distinct().collect())   # the few phrase lengths in use
+    longest = max(lengths, default=1)
+    # every token beside the ones that follow it, by zipping shifted lists
+    columns = []
+    for k in range(longest):
+        for f in ("norm", "line", "end") if k + 1 in lengths or k == 0 else ("norm",):
+            values = F.col(f"tokens.{f}")
+            columns.append((values if k == 0 else F.slice(values, k + 1, F.size(values))).alias(f"{f}{k}"))
+    columns.append(F.col("tokens.start").alias("start"))
+    rows = tokens.select("doc_id", F.posexplode(F.arrays_zip(*columns)).alias("i", "z")).select("doc_id", "i", "z.*")
+    grams = F.explode(F.array_compact(F.array(*[
+        F.when(F.col(f"line{n - 1}") == F.col("line0"), F.struct(
+            F.lit(n).alias("length"), F.col(f"end{n - 1}").alias("end"),
+            F.concat_ws(" ", *[f"norm{k}" for k in range(n)]).alias("key"))) for n in lengths])))
+    found = rows.select("doc_id", F.col("line0").alias("line"), (F.col("i") + 1).alias("first"), "start", grams.alias("g"))
+    return found.select("doc_id", "line", "first", "start", "g.*").join(entries.select("key", "length", "canonical"), ["key", "length"])
 
 
 def _keep_disjoint(found: Column) -> Column:
@@ -140,7 +146,8 @@ def match_exact(tokens: DataFrame, entries: DataFrame) -> DataFrame:
 def canonical_stream(tokens: DataFrame, matches: DataFrame) -> DataFrame:
     """Tokens after the exact swaps: ``(doc_id, line, place, start, end, norm,
     swapped)``; a swapped phrase is one token with its canonical name."""
-    plain = tokens.select("doc_id", F.posexplode("tokens").alias("i", "t")).select(
+    zipped = F.arrays_zip("tokens.line", "tokens.start", "tokens.end", "tokens.norm")
+    plain = tokens.select("doc_id", F.posexplode(zipped).alias("i", "t")).select(
         "doc_id", F.col("t.line").alias("line"), (F.col("i") + 1).alias("first"), F.col("t.start").alias("start"),
         F.col("t.end").alias("end"), F.col("t.norm").alias("norm"))
     inside = matches.select("doc_id", F.explode(F.sequence("first", "last")).alias("first"))
@@ -213,7 +220,7 @@ def span_offsets(matches: DataFrame, docs: DataFrame) -> DataFrame:
     matched words; ordered by start, widest first."""
     rows = matches.join(docs.select("doc_id", "text"), "doc_id")
     piece = F.substr(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    found = F.transform(_tokens(piece), lambda x: x["norm"])
+    found = _tokens(piece)["norm"]
     rows = rows.withColumn("slice", piece).withColumn("_found", found)
     sound = F.when(F.col("method") == "exact", F.col("_found") == F.col("words")).otherwise(F.size("_found") > 0)
     return rows.withColumn("sound", (F.col("start") < F.col("end")) & sound).drop("text", "_found")

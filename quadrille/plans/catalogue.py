@@ -6,7 +6,7 @@ import importlib
 
 from quadrille.plans.registry import QUERIES
 
-MODULES = ["pattern_queries", "aggregate_queries", "graph_queries", "quality_queries", "search_queries", "change_queries"]
+MODULES = ["pattern_queries", "aggregate_queries", "graph_queries", "quality_queries", "search_queries", "change_queries", "function_queries"]
 
 for _name in MODULES:
     importlib.import_module(f"quadrille.plans.{_name}")

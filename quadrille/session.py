@@ -54,6 +54,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input (fewer splits than cores, such as one file with one
+    row group) enough tasks for CPU-heavy work; large inputs pass unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def global_index(df: DataFrame, order: list[Column], name: str = "row_index") -> DataFrame:
     """Number all rows from 0 in ``order`` without a single-task window.
 
