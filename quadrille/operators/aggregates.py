@@ -212,13 +212,23 @@ def column_reasons(census: DataFrame) -> DataFrame:
     return census.withColumn("reasons", flags)
 
 
+ROW_VALUES = 10_000
+
+
 def pivot_individuals(values: DataFrame) -> DataFrame:
-    """One row per individual: map of predicate to its display values."""
-    cells = values.groupBy("iri", "p").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_v"))
+    """(iri, part, values): map of predicate to its display values.
+
+    One row per individual; one with more than ``ROW_VALUES`` values is split
+    into several parts, so no task has to hold a hub whole.
+    """
+    hubs = values.groupBy("iri").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > ROW_VALUES)
+    hubs = hubs.select("iri", F.ceil(F.col("_n") / ROW_VALUES).alias("_parts"))
+    rows = values.join(hubs, "iri", "left").withColumn(
+        "part", F.pmod(F.xxhash64("p", "value"), F.coalesce("_parts", F.lit(1))))
+    cells = rows.groupBy("iri", "part", "p").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_v"))
     cells = cells.withColumn("_v", F.transform("_v", lambda v: v["value"]))
     entries = F.array_sort(F.collect_list(F.struct(F.col("p").alias("key"), F.col("_v").alias("value"))))
-    return cells.groupBy("iri").agg(F.map_from_entries(entries).alias("values"))
+    return cells.groupBy("iri", "part").agg(F.map_from_entries(entries).alias("values"))
 
 
 def group_statements(quads: DataFrame) -> DataFrame:

@@ -227,7 +227,8 @@ def replace_quads(new: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     refused = cut(bad)
     if not refused.isEmpty():
         return good.limit(0), refused
-    as_set(good).write.mode("overwrite").partitionBy("p").parquet(path)
+    # rebalancing splits a hot predicate and packs rare ones into few files
+    as_set(good).hint("rebalance", "p").write.mode("overwrite").partitionBy("p").parquet(path)
     return new.sparkSession.read.parquet(path).select(*m.QUAD_COLS), refused
 
 

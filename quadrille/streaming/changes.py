@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadrille import model as m
-from quadrille.session import global_index
+from quadrille.session import cut, global_index
 
 DELTA_COLS = [*m.QUAD_COLS, "op", "seq"]
 
@@ -84,8 +85,9 @@ def context_drift(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def latest_deltas(deltas: DataFrame) -> DataFrame:
     """The last delta of every statement ``(quad columns, op, seq)``."""
-    last = F.max_by(F.struct("op", "pos"), F.col("seq"))
-    return deltas.groupBy(*m.STATEMENT).agg(last.alias("d")).select(*m.STATEMENT, F.col("d.pos").alias("pos"), F.col("d.op").alias("op"))
+    last = F.max(F.struct("seq", "op", "pos"))
+    return deltas.groupBy(*m.STATEMENT).agg(last.alias("d")).select(
+        *m.STATEMENT, F.col("d.pos").alias("pos"), F.col("d.op").alias("op"), F.col("d.seq").cast("long").alias("seq"))
 
 
 def apply_deltas(quads: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -102,17 +104,44 @@ def apply_subject_updates(quads: DataFrame, updates: DataFrame, removed: DataFra
     return quads.join(touched, "s", "left_anti").select(*m.QUAD_COLS).unionByName(updates.select(*m.QUAD_COLS))
 
 
-def stream_deltas(stream: DataFrame, path: str, checkpoint: str):
-    """Apply a stream of deltas to a versioned table folder.
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*m.STATEMENT), F.lit(buckets)).cast("int"))
 
-    Every batch writes the next version ``path/v<batch>`` from the one before,
-    so a retried batch overwrites only its own output.  Start from a table
-    written to ``path/v-1``.
+
+def write_table(quads: DataFrame, path: str, buckets: int = 256) -> None:
+    """Store quads in statement-hash buckets, the unit a delta batch rewrites.
+    Hashing the whole statement keeps a hot subject spread over all buckets."""
+    rows = _bucketed(quads.select(*m.QUAD_COLS).withColumn("live", F.lit(True)).withColumn("seq", F.lit(-1).cast("long")), buckets)
+    rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_table(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).filter("live").select(*m.QUAD_COLS)
+
+
+def stream_deltas(stream: DataFrame, path: str, checkpoint: str, buckets: int = 256):
+    """Apply a stream of deltas to a table made by ``write_table``.
+
+    A batch reads and rewrites only the buckets it touches.  Removed
+    statements stay as rows that are not live, so an emptied bucket is
+    overwritten too.  Every row keeps the sequence number that set it and the
+    highest wins, so late or retried batches give the same table.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.schema(m.QUADS).parquet(f"{path}/v{batch_id - 1}")
-        apply_deltas(before, batch).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        last = cut(_bucketed(latest_deltas(batch), buckets))
+        touched = [r[0] for r in last.select("bucket").distinct().collect()]   # at most one number per bucket
+        if not touched:
+            return
+        now = last.select(*m.QUAD_COLS, (F.col("op") == "add").alias("live"), "seq", "bucket")
+        try:
+            before = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).select(*now.columns)
+        except AnalysisException:   # an empty table has no files to infer from
+            before = now.limit(0)
+        newest = F.max(F.struct("seq", "live", "pos"))
+        after = before.unionByName(now).groupBy(*m.STATEMENT, "bucket").agg(newest.alias("x")).select(
+            *m.STATEMENT, F.col("x.pos").alias("pos"), F.col("x.live").alias("live"), F.col("x.seq").alias("seq"), "bucket")
+        (cut(after).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
     return (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -85,6 +85,6 @@ if __name__ == "__main__":
         if d:
             bad += 1
             print(f"BAD {name} ({dt:.1f}s): {d[:1200]}", flush=True)
-        elif dt > 5:
+        elif dt > 12:
             print(f"slow {name} {dt:.1f}s rows-only={q.sql is None}", flush=True)
     print(f"{total - bad} ok, {bad} bad")
