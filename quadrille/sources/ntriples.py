@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quadrille import model as m
 from quadrille.operators.updates import as_set
 
-_RES = r"<[^<>\"{}|^`\\\x00-\x20]*>|_:[A-Za-z0-9_][^\s<>\"]*"
-# a lazy run up to a quote that no odd number of backslashes precedes: unlike a
-# repeated group, it costs Java's matcher no stack on long literals
-_LIT = (r'"[^\n\r]*?(?<!(?<!\\)\\(?:\\\\){0,50})"'
+_RES = r"(?:<[^<>\"{}|^`\\\x00-\x20]*>|_:[A-Za-z0-9_][^\s<>\"]*)"
+# A lazy run up to a quote without an odd number of backslashes before it: unlike
+# a repeated group it costs Java's matcher no stack on long literals, and the
+# backslashes are counted only at quotes.
+_LIT = (r'"[^\n\r]*?"(?<!(?<!\\)\\(?:\\\\){0,50}")'
         r"(?:\^\^<[^<>\s]*>|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?")
-_LINE = rf"^\s*({_RES})\s*(<[^<>\s]*>)\s*({_RES}|{_LIT})\s*({_RES})?\s*\.\s*(?:#.*)?$"
+_TAIL = rf"\s*({_RES})?\s*\.\s*(?:#.*)?$"
 
 
 def _bare(c: Column) -> Column:
@@ -39,16 +40,22 @@ def _unescape(c: Column) -> Column:
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(quads, quarantine) from ``lines(value)``; blank lines and comments
     are skipped, quoted triples and broken lines are quarantined."""
-    rows = lines.filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    object_text = F.regexp_extract("value", _LINE, 3)
-    inside = F.regexp_extract(object_text, r'^"(.*)"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?$', 1)
-    stray = F.regexp_replace(inside, r"\\.", "").rlike(r'["\\]')
-    valid = F.col("value").rlike(_LINE) & ~stray
-    good = rows.filter(valid)
-    bad = rows.filter(~valid).select(F.col("value").alias("line"))
-    part = {i: F.regexp_extract("value", _LINE, i) for i in (1, 2, 3, 4)}
     rest = [c for c in lines.columns if c != "value"]
-    t = good.select(*[part[i].alias(n) for i, n in ((1, "s"), (2, "p"), (3, "t"), (4, "g"))], *rest)
+    rows = lines.filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    # term by term from the left, each pattern anchored at the start of what is left
+    x = rows.select("*", F.trim("value").alias("_v"))
+    x = x.withColumn("_s", F.regexp_extract("_v", rf"^{_RES}\s*", 0))
+    x = x.withColumn("_v1", F.substr(F.col("_v"), F.length("_s") + 1))
+    x = x.withColumn("_p", F.regexp_extract("_v1", r"^<[^<>\s]*>\s*", 0))
+    x = x.withColumn("_v2", F.substr(F.col("_v1"), F.length("_p") + 1))
+    x = x.withColumn("t", F.regexp_extract("_v2", rf"^(?:{_LIT}|{_RES})(?={_TAIL})", 0))
+    x = x.withColumn("_v3", F.substr(F.col("_v2"), F.length("t") + 1))
+    inside = F.regexp_extract("t", r'^"(.*)"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?$', 1)
+    stray = F.col("t").startswith('"') & F.regexp_replace(inside, r"\\.", "").rlike(r'["\\]')
+    x = x.withColumn("_ok", (F.col("_s") != "") & (F.col("_p") != "") & (F.col("t") != "") & ~stray)
+    bad = x.filter("not _ok").select(F.col("value").alias("line"))
+    t = x.filter("_ok").select(F.trim("_s").alias("s"), F.trim("_p").alias("p"), "t",
+                               F.regexp_extract("_v3", "^" + _TAIL, 1).alias("g"), *rest)
     literal = F.col("t").startswith('"')
     lex = F.regexp_extract("t", r'^"(.*)"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?$', 1)
     kind = F.regexp_extract("t", r'"\^\^<([^>]*)>$', 1)
