@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quadrille.llm import repetition
+from quadrille.llm import host_reputation, repetition
 from quadrille.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,53 @@ FROM v"""
 
 
 QUERIES["op2_repetition_rules"], SQL["op2_repetition_rules"] = op2_repetition_rules, _op2_sql()
+
+
+def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the quality label of the document its path names (``/en/825``)."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("bad"))
+    named = host_reputation.with_parts(pages).select("page_id", F.regexp_extract("path", "/([0-9]{1,18})", 1).try_cast("long").alias("doc_id"))
+    outcomes = named.join(labels, "doc_id").select("page_id", "bad")
+    return host_reputation.judged(pages, outcomes).drop("bound")
+
+
+def _op6_sql() -> str:
+    limits = host_reputation.Limits()
+    rules = sorted(host_reputation.RULES, key=lambda r: (-len(r[1] + r[2]), r))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in rules) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{k}'" for k, h, p in rules) + " END"
+
+    def shrunk(name: str, children: str, parents: str, by: str, keep: str) -> str:
+        return f"""
+{name}_c AS (SELECT c.*, parent FROM {children} c JOIN {parents} USING ({by})),
+{name}_s AS (SELECT {by}, parent AS m, sum(round(n * (b / n - parent) * (b / n - parent) * 1000000)::BIGINT) AS ss, sum(n) AS sn, count(*) AS k
+             FROM {name}_c GROUP BY {by}, parent),
+{name}_v AS (SELECT {by}, m, greatest(0.0::DOUBLE, (ss / 1000000 - k * m * (1 - m)) / sn) AS var FROM {name}_s),
+{name}_p AS (SELECT {by}, least(greatest(CASE WHEN var > 0 THEN m * (1 - m) / var - 1 ELSE {limits.strongest}::DOUBLE END, {limits.weakest}::DOUBLE), {limits.strongest}::DOUBLE) AS strength FROM {name}_v),
+{name} AS (SELECT {keep}, n, strength, (b + strength * parent) / (n + strength) AS mean FROM {name}_c JOIN {name}_p USING ({by}))"""
+
+    return rf"""
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p0 AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+p AS (SELECT *, regexp_extract(host, '([^.]*)$', 1) AS suffix, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain,
+             TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})', 1) AS BIGINT) AS doc_id FROM p0),
+o AS (SELECT page_id, any_value(host) AS host, any_value(domain) AS domain, any_value(suffix) AS suffix, max(1 - quality) AS bad
+      FROM p JOIN labels USING (doc_id) WHERE host <> '' AND quality IS NOT NULL GROUP BY page_id),
+hosts AS (SELECT '' AS root, suffix, domain, host, count(*) AS n, sum(bad) AS b FROM o GROUP BY ALL),
+domains AS (SELECT root, suffix, domain, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY ALL),
+suffixes AS (SELECT root, suffix, sum(n) AS n, sum(b) AS b FROM domains GROUP BY ALL),
+top AS (SELECT root, sum(b) / sum(n) AS parent FROM suffixes GROUP BY root),
+{shrunk("s0", "suffixes", "top", "root", "suffix")},
+s1 AS (SELECT suffix, mean AS parent FROM s0),
+{shrunk("d0", "domains", "s1", "suffix", "suffix, domain")},
+d1 AS (SELECT suffix, domain, mean AS parent FROM d0),
+{shrunk("h0", "hosts", "d1", "suffix, domain", "host")},
+known AS (SELECT host, mean - {limits.deviations} * sqrt(mean * (1 - mean) / (n + strength + 1)) AS bound FROM h0)
+SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN bound > {limits.bad_rate} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN known USING (host)"""
+
+
+QUERIES["op6_host_reputation"], SQL["op6_host_reputation"] = op6_host_reputation, _op6_sql()
