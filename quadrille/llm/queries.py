@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quadrille.llm import host_reputation, repetition
-from quadrille.llm.common import table
+from quadrille.llm import host_reputation, repetition, token_output
+from quadrille.llm.common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,3 +105,14 @@ FROM p LEFT JOIN known USING (host)"""
 
 
 QUERIES["op6_host_reputation"], SQL["op6_host_reputation"] = op6_host_reputation, _op6_sql()
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    path = fresh_path(spark, "token-ids")
+    token_output.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    place = token_output.index(spark, path).select("shard", "block", "item", "doc_id", "start")
+    return place.join(token_output.digests(spark, path), ["shard", "block", "item"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES["op9_token_output"] = op9_token_output
