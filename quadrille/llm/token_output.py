@@ -22,6 +22,7 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ END_ID = 2
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 #: the dictionary is trained on the documents with the smallest hashed ids
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16384, 65536
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 500_000
 
 BLOCK_SCHEMA = ("shard long, block long, dictionary string, id_bytes int, doc_ids array<long>, counts array<long>, "
                 "offsets array<long>, lengths array<long>, data binary")
@@ -47,32 +48,63 @@ CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile(r"[\x1c-\x1f\x85]|<\|")
 
 
-class Encoder:
-    """The tokenizers library with a bounded memo of chunks."""
+#: a chunk of one word, maybe with marks after it: two pre-tokens at most
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)?([!-&(-/:-@[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in a byte-level vocabulary."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Encoder(dict):
+    """The tokenizers library behind a bounded memo: chunk to serialized ids.
+
+    Chunks of plain words go to the library's BPE model, all others through
+    its whole pipeline.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, self.dtype).tobytes() for e in encode(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Per text its ids, serialized; the same as encoding each text whole."""
-        for at in range(0, len(texts), 64):
-            part = [t or "" for t in texts[at:at + 64]]
-            cut = [None if ODD.search(t) else CHUNK.findall(t) for t in part]
-            if len(self.memo) > MEMO_ENTRIES:
-                self.memo.clear()
-            memo = self.memo
-            new = list({c for chunks in cut if chunks for c in chunks if c not in memo})
-            memo.update(zip(new, self._ids(new), strict=True))
-            for text, chunks in zip(part, cut, strict=True):
-                yield self._ids([text])[0] if chunks is None else b"".join(map(memo.__getitem__, chunks))
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.letters = _byte_letters()
+        self.marks: dict[str, bytes] = {"": b""}
+        kind = type(self.tokenizer.pre_tokenizer).__name__, type(self.tokenizer.model).__name__, self.tokenizer.normalizer
+        if kind != ("ByteLevel", "BPE", None):
+            raise ValueError(f"a byte-level BPE file is needed, not {kind}")
+
+    def _model(self, pre_token: str) -> bytes:
+        letters = pre_token.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if m := PLAIN.fullmatch(chunk):
+            word, marks = m.groups()
+            if marks not in self.marks:
+                self.marks[marks] = self._model(marks)
+            ids = (self._model(word) if word else b"") + self.marks[marks]
+        else:
+            ids = self._whole(chunk)
+        self[chunk] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text, serialized; the same as encoding it whole."""
+        text = text or ""
+        if len(self) + len(self.marks) > MEMO_ENTRIES:
+            self.clear()
+            self.marks = {"": b""}
+        if ODD.search(text):
+            return self._whole(text)
+        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
 
 
 @functools.lru_cache(maxsize=2)
@@ -87,7 +119,8 @@ def trained_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     import zstandard
     sample = docs.filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE_DOCS)
     texts = [r[0] for r in sample.select(F.substring("text", 1, SAMPLE_BYTES)).collect()]
-    ids = [b[:SAMPLE_BYTES] for b in Encoder(tokenizer).encode(texts)]
+    own = Encoder(tokenizer)
+    ids = [own.encode(t)[:SAMPLE_BYTES] for t in texts]
     if len(ids) < 16 or sum(map(len, ids)) < 8192:
         return b""
     size = min(DICTIONARY_BYTES, sum(map(len, ids)) // 8)
@@ -130,7 +163,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
 
         for pdf in batches:
             keys = [None if pd.isna(k) else int(k) for k in pdf["doc_id"]]
-            for key, got in zip(keys, own.encode(pdf["text"].tolist()), strict=True):
+            for key, text in zip(keys, pdf["text"], strict=True):
+                got = own.encode(text)
                 frame = compress(got + end)
                 ids.append(key)
                 counts.append(len(got) // width + 1)
