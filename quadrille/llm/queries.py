@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quadrille.llm import host_reputation, repetition, token_output
+from quadrille.llm import host_reputation, near_dedup, repetition, token_output
 from quadrille.llm.common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,29 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_token_output"] = op9_token_output
+
+
+def op5_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"), near_dedup.Banding(words=4))
+
+
+def near_classes_sql(documents: str, words: int) -> str:
+    """Exact classes by counting the shingles that two texts share."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+w AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS ws FROM {documents}),
+s0 AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {words} THEN [array_to_string(ws, ' ')]
+              ELSE list_distinct(list_transform(generate_series(1, len(ws) - {words - 1}), lambda i: array_to_string(ws[i:i + {words - 1}], ' '))) END AS ss FROM w),
+reps AS (SELECT list_sort(ss) AS ss, min(doc_id) AS id FROM s0 WHERE len(ss) > 0 GROUP BY 1),
+home0 AS (SELECT s0.doc_id, len(s0.ss) AS n, coalesce(reps.id, s0.doc_id) AS id FROM s0 LEFT JOIN reps ON list_sort(s0.ss) = reps.ss),
+x AS (SELECT id, len(ss) AS n, unnest(ss) AS s FROM reps),
+p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.s = b.s AND a.id < b.id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+      GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+reach AS (SELECT id, id AS c FROM reps UNION SELECT e.b AS id, reach.c FROM reach JOIN e ON e.a = reach.id WHERE reach.c < e.b),
+root AS (SELECT id, min(c) AS c FROM reach GROUP BY id),
+classes AS (SELECT doc_id, n AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept FROM home0 LEFT JOIN root USING (id))"""
+
+
+QUERIES["op5_minhash_classes"] = op5_minhash_classes
+SQL["op5_minhash_classes"] = f"WITH RECURSIVE {near_classes_sql('documents', 4)} SELECT * FROM classes"
