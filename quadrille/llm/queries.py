@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quadrille.llm import host_reputation, near_dedup, repetition, token_output
+from quadrille.llm import host_reputation, mixing, near_dedup, repetition, token_output
 from quadrille.llm.common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,46 @@ classes AS (SELECT doc_id, n AS n_shingles, coalesce(c, doc_id) AS component_id,
 
 QUERIES["op5_minhash_classes"] = op5_minhash_classes
 SQL["op5_minhash_classes"] = f"WITH RECURSIVE {near_classes_sql('documents', 4)} SELECT * FROM classes"
+
+
+def op8_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.sampled(docs).select("doc_id", "mix.source", "mix.lang", "mix.topic", "mix.n_tokens",
+                                       F.round("mix.probability", 6).alias("probability"), "mix.kept")
+
+
+def mixing_sql(documents: str) -> str:
+    mix, dims = mixing.Mix(), [d for d in mixing.DIMENSIONS if d in mixing.Mix().targets]
+    out = rf"""
+mix_d AS MATERIALIZED (SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens,
+  CASE WHEN text IS NULL THEN NULL WHEN (length(text) - length(translate(text, '#*$%&|<>', ''))) * 50 > length(text) THEN 'markup'
+       WHEN (length(text) - length(translate(text, '0123456789', ''))) * 50 > length(text) THEN 'numeric'
+       WHEN length(text) < 600 THEN 'brief' ELSE 'prose' END AS topic,
+  list_reduce(list_transform(string_split(substr(md5('{mix.seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8), ''),
+              lambda c: instr('0123456789abcdef', c) - 1), lambda a, b: a * 16 + b)::DOUBLE / 4294967296.0 AS u FROM {documents}),
+mix_0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens, 1.0::DOUBLE AS weight FROM mix_d GROUP BY ALL)"""
+    for d in dims:
+        out += f""",
+want_{d} AS MATERIALIZED (SELECT {d}, pow(t::DOUBLE, {mix.targets[d]}::DOUBLE) / (sum(pow(t::DOUBLE, {mix.targets[d]}::DOUBLE)) OVER ()) * (sum(t) OVER ())::DOUBLE AS wanted
+  FROM (SELECT {d}, sum(tokens) AS t FROM mix_0 GROUP BY {d}))"""
+    k = 0
+    for _ in range(mix.rounds):
+        for d in dims:
+            out += f""",
+mix_{k + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens, weight * CASE WHEN have > 0 THEN wanted / have ELSE 1 END AS weight
+  FROM mix_{k} c JOIN (SELECT {d}, sum(tokens * weight) AS have FROM mix_{k} GROUP BY {d}) h ON c.{d} IS NOT DISTINCT FROM h.{d}
+  JOIN want_{d} w ON c.{d} IS NOT DISTINCT FROM w.{d})"""
+            k += 1
+    out += f", cap_0 AS MATERIALIZED (SELECT *, false AS capped, 0.0::DOUBLE AS scale FROM mix_{k})"
+    for i in range(mix.scale_rounds):
+        out += f""",
+cap_{i + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight, capped OR weight * s >= 1 AS capped, s AS scale
+  FROM cap_{i}, (SELECT ({mix.budget}::DOUBLE * sum(tokens)::DOUBLE - sum(CASE WHEN capped THEN tokens ELSE 0 END)) / sum(CASE WHEN capped THEN 0.0::DOUBLE ELSE tokens * weight END) AS s FROM cap_{i}))"""
+    return out + f""",
+mix AS (SELECT doc_id, d.source, d.lang, d.topic, n_tokens, CASE WHEN capped THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, weight * scale)) END AS probability, u
+  FROM mix_d d JOIN cap_{mix.scale_rounds} c ON d.source IS NOT DISTINCT FROM c.source AND d.lang IS NOT DISTINCT FROM c.lang AND d.topic IS NOT DISTINCT FROM c.topic)"""
+
+
+QUERIES["op8_mixing_weights"] = op8_mixing_weights
+SQL["op8_mixing_weights"] = (f"WITH {mixing_sql('documents')} SELECT doc_id, source, lang, topic, n_tokens, "
+                             "round(probability, 6) AS probability, u < probability AS kept FROM mix")
