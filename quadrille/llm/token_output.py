@@ -36,7 +36,7 @@ END_ID = 2
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 #: the dictionary is trained on the documents with the smallest hashed ids
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16384, 65536
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 600_000
 
 BLOCK_SCHEMA = ("shard long, block long, dictionary string, id_bytes int, doc_ids array<long>, counts array<long>, "
                 "offsets array<long>, lengths array<long>, data binary")
