@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quadrille.llm import host_reputation, mixing, near_dedup, repetition, token_output
+from quadrille.llm import decontaminate, host_reputation, mixing, near_dedup, personal_data, repetition, token_output
 from quadrille.llm.common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,18 @@ mix AS (SELECT doc_id, d.source, d.lang, d.topic, n_tokens, CASE WHEN capped THE
 QUERIES["op8_mixing_weights"] = op8_mixing_weights
 SQL["op8_mixing_weights"] = (f"WITH {mixing_sql('documents')} SELECT doc_id, source, lang, topic, n_tokens, "
                              "round(probability, 6) AS probability, u < probability AS kept FROM mix")
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op1_decontamination"] = op1_decontamination
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.found(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+QUERIES["op7_personal_data"] = op7_personal_data
