@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quadrille.llm import decontaminate, host_reputation, mixing, near_dedup, personal_data, repetition, token_output
-from quadrille.llm.common import fresh_path, table
+from quadrille.llm import decontaminate, host_reputation, html_text, mixing, near_dedup, personal_data, repetition, token_output, warc_fixity
+from quadrille.llm.common import fresh_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -200,3 +200,37 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_personal_data"] = op7_personal_data
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op3_html_extraction"] = op3_html_extraction
+
+#: the second replica of op10: which pages have a changed byte there, and which can't be read
+CHANGED, LOST = "page_id % 97 = 13", "page_id % 389 = 7"
+
+
+def op10_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the archive of all pages against a replica derived from it."""
+    kept = warc_fixity.records(table(spark, sf_dir, "pages"))
+    first = written(warc_fixity.manifest(kept), "fixity-manifest")
+    changed = kept.filter(f"NOT coalesce({LOST}, false)").withColumn(
+        "record", F.when(F.expr(CHANGED), F.overlay("record", F.lit("X"), 40, 1)).otherwise(F.col("record")))
+    # the replica is read at the offsets of the index
+    hashes = changed.select("page_id", F.octet_length("record").cast("long").alias("record_length"), F.sha2("record", 256).alias("sha256"))
+    second = first.select("page_id", "warc_file", "record_offset").join(hashes, "page_id")
+    return warc_fixity.located(warc_fixity.audit(first, second), first).select(
+        "page_id", "warc_file", "record_offset", "record_length", "expected_sha256", "actual_sha256", "status")
+
+
+QUERIES["op10_merkle_fixity"] = op10_merkle_fixity
+SQL["op10_merkle_fixity"] = f"""
+WITH r AS (SELECT page_id, page_id // {warc_fixity.PAGES_PER_FILE} AS warc_file, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+  || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+  || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+m AS (SELECT page_id, warc_file, coalesce(sum(strlen(record)) OVER (PARTITION BY warc_file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset,
+  strlen(record) AS record_length, sha256(record) AS expected_sha256, sha256(left(record, 39) || 'X' || substr(record, 41)) AS other FROM r)
+SELECT page_id, warc_file, record_offset, record_length, expected_sha256, CASE WHEN NOT ({LOST}) THEN other END AS actual_sha256,
+  CASE WHEN {LOST} THEN 'missing' ELSE 'changed' END AS status FROM m WHERE {CHANGED} OR {LOST}"""
