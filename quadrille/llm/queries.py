@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quadrille.llm import decontaminate, host_reputation, html_text, mixing, near_dedup, personal_data, repetition, token_output, warc_fixity
+from quadrille.llm import decontaminate, host_reputation, html_text, mixing, near_dedup, personal_data, repetition, suffix_dedup, token_output, warc_fixity
 from quadrille.llm.common import fresh_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,3 +234,10 @@ m AS (SELECT page_id, warc_file, coalesce(sum(strlen(record)) OVER (PARTITION BY
   strlen(record) AS record_length, sha256(record) AS expected_sha256, sha256(left(record, 39) || 'X' || substr(record, 41)) AS other FROM r)
 SELECT page_id, warc_file, record_offset, record_length, expected_sha256, CASE WHEN NOT ({LOST}) THEN other END AS actual_sha256,
   CASE WHEN {LOST} THEN 'missing' ELSE 'changed' END AS status FROM m WHERE {CHANGED} OR {LOST}"""
+
+
+def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept_bytes")
+
+
+QUERIES["op4_suffix_arrays"] = op4_suffix_arrays
