@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from quadrille.llm import decontaminate, host_reputation, html_text, mixing, near_dedup, personal_data, repetition, suffix_dedup, token_output, warc_fixity
 from quadrille.llm.common import fresh_path, table, written
 
@@ -111,8 +112,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     path = fresh_path(spark, "token-ids")
     token_output.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    place = token_output.index(spark, path).select("shard", "block", "item", "doc_id", "start")
-    return place.join(token_output.digests(spark, path), ["shard", "block", "item"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_output.summary(spark, path)
 
 
 QUERIES["op9_token_output"] = op9_token_output
@@ -241,3 +241,5 @@ def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_suffix_arrays"] = op4_suffix_arrays
+
+QUERIES["pipeline"] = corpus_pipeline.run

@@ -259,3 +259,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
                                     "n_tokens": [len(i) for i in ids], "ids_crc32": [zlib.crc32(i.astype("<u4").tobytes()) for i in ids]})
 
     return b.mapInPandas(run, "shard long, block long, item int, n_tokens long, ids_crc32 long")
+
+
+def summary(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 per document, read from the table."""
+    place = index(spark, path).select("shard", "block", "item", "doc_id", "start")
+    return place.join(digests(spark, path), ["shard", "block", "item"]).select("doc_id", "start", "n_tokens", "ids_crc32")
