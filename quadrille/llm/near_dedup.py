@@ -6,8 +6,9 @@ either family make ``m * m`` tables from ``2 * m`` collections.  Values that no
 other set shares are dropped before pairs are formed, which loses no bucket.
 
 Candidates are verified on the full shingle sets.  Buckets are not expanded
-into pairs: first every set meets one common partner of its buckets, then only
-members of a bucket that are still in different classes are compared.
+into pairs: first every set meets the most central partner of its buckets, then
+members of a bucket that are still in different classes are compared where one
+of their rarest shingles is the same, without which they cannot be similar.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quadrille.llm.common import cut, pick, written
 from quadrille.llm.graph import components
@@ -139,14 +140,48 @@ def _confirmed(b: Banding):
 def _verified(pairs: DataFrame, sets: DataFrame, b: Banding) -> DataFrame:
     """The ``pairs`` (a, b) whose full sets are similar enough.
 
-    The smaller id is the frequent one; its set is attached last, straight
-    before the comparison, and so never shuffled once per pair.
+    The second set is attached straight before the comparison and so never
+    shuffled once per pair.
     """
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("left_set"))
     right = sets.select(F.col("id").alias("b"), F.col("members").alias("right_set"))
     return pairs.join(right, "b").join(left, "a").mapInPandas(_confirmed(b), "a long, b long")
 
 
+def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        sets = [np.frombuffer(m, np.int64) for m in pdf["members"]]
+        if sets:
+            size = [len(x) for x in sets]
+            own = [xxhash.xxh3_64_intdigest(m) >> 1 for m in pdf["members"]]     # an id may have several sets
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), size), "own": np.repeat(np.array(own, np.int64), size),
+                                "n": np.repeat(np.array(size, np.int64), size), "shingle": np.concatenate(sets)})
+
+
+def _rare_partners(members: DataFrame, left: DataFrame, sets: DataFrame, b: Banding) -> DataFrame:
+    """Pairs (a, b) of ``left`` with ``members`` (id, n, class) of other classes that can be similar enough.
+
+    Two sets of similarity s share one of their n - ceil(s * n) + 1 rarest
+    shingles; rare means in few members.  Copies with many changes of their own
+    have nothing but these among their rarest ones and meet nobody, however
+    crowded their buckets are.
+    """
+    rows = sets.join(members.select("id").distinct(), "id").mapInPandas(_exploded, "id long, own long, n long, shingle long")
+    rows = written(rows, "near-shingles")
+    often = rows.groupBy("shingle").count()
+    place = F.row_number().over(W.partitionBy("id", "own").orderBy("count", "shingle"))      # one text's shingles
+    few = F.col("n") - F.ceil(F.col("n") * b.percent / 100) + 1
+    rare = written(rows.join(often, "shingle").withColumn("place", place).filter(F.col("place") <= few).select("id", "shingle"), "near-rare")
+    mine = rare.join(left.select("id"), "id", "left_semi").join(members, "id")
+    other = rare.join(members.select(F.col("id"), F.col("n").alias("other_n"), F.col("class").alias("other_class")), "id").withColumnRenamed("id", "other")
+    return (mine.join(other, "shingle").filter("class <> other_class").filter(_near_sizes(b))
+            .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+
+
+def _near_sizes(b: Banding):
+    return (F.col("n") * 100 >= F.col("other_n") * b.percent) & (F.col("other_n") * 100 >= F.col("n") * b.percent)
+
+
 def _links(reps: DataFrame, docs: DataFrame, b: Banding) -> DataFrame:
     """Classes (id, component) among representatives (id, n, values)."""
     values = reps.select("id", "n", F.posexplode("values").alias("at", "value"))
@@ -154,18 +189,18 @@ def _links(reps: DataFrame, docs: DataFrame, b: Banding) -> DataFrame:
     mine = (values.join(shared, "value").groupBy("id", "n")
             .agg(F.collect_list(F.when(F.col("at") < b.collections, F.col("value"))).alias("first"),
                  F.collect_list(F.when(F.col("at") >= b.collections, F.col("value"))).alias("second")))
-    keyed = (mine.withColumn("v", F.explode("first")).withColumn("w", F.explode("second"))
-             .select(F.xxhash64("v", "w").alias("key"), "id", "n"))
+    # who shares much is central to its group
+    keyed = (mine.withColumn("central", F.size("first") * F.size("second")).withColumn("v", F.explode("first")).withColumn("w", F.explode("second"))
+             .select(F.xxhash64("v", "w").alias("key"), "id", "n", "central"))
     keyed = written(keyed, "near-tables")
-    full = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", F.col("lo").alias("hub"))
-    buckets = written(keyed.join(full, "key"), "near-buckets")
+    full = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.struct("central", -F.col("id"))).alias("top")).filter("lo < hi")
+    full = full.select("key", (-F.col("top")["col2"]).alias("hub"), F.col("top.central").alias("hub_central"))
+    buckets = written(keyed.select("key", "id", "n").join(full, "key"), "near-buckets")
     # the sets of documents with a partner, computed once
     members = buckets.select(F.col("id").alias("doc_id")).distinct()
     sets = written(docs.join(members, "doc_id").mapInPandas(_sets(b), "id long, members binary"), "near-sets")
 
-    near = (F.col("n") * 100 >= F.col("other_n") * b.percent) & (F.col("other_n") * 100 >= F.col("n") * b.percent)
-    sizes = buckets.select("id", "n").distinct()
-    hub_sizes = sizes.select(F.col("id").alias("hub"), F.col("n").alias("other_n"))
+    hub_sizes = buckets.select(F.col("id").alias("hub"), F.col("n").alias("other_n")).distinct()
     tried = links = classes = None
     for turn in range(b.star_rounds + 1):
         now = buckets
@@ -176,18 +211,19 @@ def _links(reps: DataFrame, docs: DataFrame, b: Banding) -> DataFrame:
             apart = now.filter("class <> hub_class")
         else:
             apart = now.filter("id <> hub")
-        if turn < b.star_rounds:    # one partner for each set: the smallest id it shares a bucket with
-            pairs = apart.select("id", "n", "hub").distinct().join(hub_sizes, "hub").filter(near).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        if turn < b.star_rounds:    # one partner for each set: the most central one it shares a bucket with
+            pairs = (apart.select("id", "n", "hub", "hub_central").distinct().join(hub_sizes, "hub").filter(_near_sizes(b))
+                     .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), "id", "hub_central"))
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            pairs = pairs.groupBy("id").agg(F.max(F.struct("hub_central", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         else:       # whatever is still in two classes of one bucket
-            other = now.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("class").alias("other_class"))
-            pairs = (apart.join(other, "key").filter("class <> other_class").filter(near)
-                     .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-                     .join(tried, ["a", "b"], "left_anti"))
+            mixed = written(now.join(apart.select("key").distinct(), "key", "left_semi").select("id", "n", "class").distinct(), "near-mixed")
+            pairs = _rare_partners(mixed, apart.select("id").distinct(), sets, b).join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         if pairs.isEmpty():
+            if turn < b.star_rounds and tried is not None:
+                continue
             break
         found = cut(_verified(pairs, sets, b))
         tried = pairs if tried is None else tried.union(pairs)
