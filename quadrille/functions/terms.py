@@ -7,9 +7,12 @@ leave the variable unbound.  All functions are plain Column expressions.
 
 from __future__ import annotations
 
+from decimal import Context, Decimal, localcontext
 from functools import reduce
+from urllib.parse import urljoin
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from quadrille.model import RDF, XSD
 
@@ -121,6 +124,12 @@ def decimal_value(t: Column) -> Column:
     return F.when(exact & fits, t["value"].try_cast("decimal(38,18)"))
 
 
+def integer_value(t: Column) -> Column:
+    """Exact value of an integer type up to 38 digits, else NULL."""
+    whole = t["value"].rlike(r"^[+-]?\d+$")
+    return F.when(is_literal(t) & t["datatype"].isin(*INTEGER_TYPES) & whole, t["value"].try_cast("decimal(38,0)"))
+
+
 def double_value(t: Column) -> Column:
     """Numeric value as double, with XSD spellings of the special values."""
     v = t["value"]
@@ -211,6 +220,15 @@ def same_term(a: Column, b: Column) -> Column:
         & F.lower(a["lang"]).eqNullSafe(F.lower(b["lang"])))
 
 
+def _moment_cmp(a: Column, op: str, b: Column) -> Column:
+    """dateTime comparison; NULL while one side lacks a zone and the 14 hours
+    that it may be off leave the answer open."""
+    ta, tb = instant(a), instant(b)
+    za, zb = a["value"].rlike(_ZONE), b["value"].rlike(_ZONE)
+    apart = F.abs(F.unix_micros(ta) - F.unix_micros(tb)) > 14 * 3600 * 1_000_000
+    return F.when((za == zb) | apart, _ordered(ta, op, tb))
+
+
 def _ordered(a: Column, op: str, b: Column) -> Column:
     return {"=": a == b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[op]
 
@@ -223,16 +241,18 @@ def term_cmp(a: Column, op: str, b: Column) -> Column:
     """
     if op == "!=":
         return ~term_cmp(a, "=", b)
+    ia, ib = integer_value(a), integer_value(b)
     da, db = decimal_value(a), decimal_value(b)
     na, nb = double_value(a), double_value(b)
     ta, tb = instant(a), instant(b)
     ba, bb = boolean_value(a), boolean_value(b)
     dates = (datatype_iri(a) == DATE) & (datatype_iri(b) == DATE)
-    typed = (F.when(da.isNotNull() & db.isNotNull(), _ordered(da, op, db))
+    typed = (F.when(ia.isNotNull() & ib.isNotNull(), _ordered(ia, op, ib))
+             .when(da.isNotNull() & db.isNotNull(), _ordered(da, op, db))
              .when(na.isNotNull() & nb.isNotNull(), _ordered(na, op, nb) & ~F.isnan(na) & ~F.isnan(nb))
              .when(is_string(a) & is_string(b), _ordered(a["value"], op, b["value"]))
              .when(ba.isNotNull() & bb.isNotNull(), _ordered(ba, op, bb))
-             .when(ta.isNotNull() & tb.isNotNull(), _ordered(ta, op, tb)))
+             .when(ta.isNotNull() & tb.isNotNull(), _moment_cmp(a, op, b)))
     if op != "=":
         a0, b0 = _day_span(a)[0], _day_span(b)[0]
         strict = typed.when(dates, _ordered(a0, op, b0))
@@ -276,6 +296,19 @@ def result_type(a: Column, b: Column) -> Column:
             .when(has(DECIMAL), DECIMAL).otherwise(INTEGER))
 
 
+@F.pandas_udf(T.StringType())
+def _quotient(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    """Decimal quotients to 18 places, which Spark's own division cuts to six."""
+    def one(x, y):
+        if x is None or y is None:
+            return None
+        with localcontext(Context(prec=60)):
+            q = (Decimal(x) / Decimal(y)).quantize(Decimal(1).scaleb(-18))
+        text = f"{q:f}".rstrip("0").rstrip(".")
+        return "0" if text in ("-0", "") else text
+    return pd.Series([one(x, y) for x, y in zip(xs, ys, strict=True)], dtype=object)
+
+
 def arith(a: Column, op: str, b: Column) -> Column:
     """``+ - * /`` with promotion; integer division gives a decimal and
     division of exact numbers by zero is an error."""
@@ -289,10 +322,16 @@ def arith(a: Column, op: str, b: Column) -> Column:
     kind = result_type(a, b)
     if op == "/":
         kind = F.when(kind == INTEGER, DECIMAL).otherwise(kind)
-    exact = apply(decimal_value(a), decimal_value(b), True)
+    ia, ib = integer_value(a), integer_value(b)
+    da, db = decimal_value(a), decimal_value(b)
+    if op == "/":
+        exact = F.when(db != 0, _quotient(da.cast("string"), db.cast("string")))
+    else:
+        exact = F.when(ia.isNotNull() & ib.isNotNull(), apply(ia, ib, True).cast("string")).otherwise(_number_text(apply(da, db, True)))
     approx = apply(double_value(a), double_value(b), False)
-    return (F.when(decimal_value(a).isNotNull() & decimal_value(b).isNotNull(),
-                   literal(_number_text(exact), kind))
+    # an exact result that does not fit is an error, never a double
+    both_exact = (a["datatype"].isin(DECIMAL, *INTEGER_TYPES) & b["datatype"].isin(DECIMAL, *INTEGER_TYPES))
+    return (F.when(both_exact, F.when(exact.isNotNull(), literal(exact, kind)))
             .otherwise(literal(approx.cast("string"), kind)))
 
 
@@ -335,11 +374,17 @@ def now_() -> Column:
 # -- term makers ------------------------------------------------------------
 
 def iri(t: Column, base: str = "") -> Column:
-    """IRI(): a relative reference is resolved against ``base`` by prefixing."""
+    """IRI(): a relative reference is resolved against ``base`` by RFC 3986."""
     v = t["value"]
     absolute = v.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
     ok = is_iri(t) | is_string(t)
-    return F.when(ok, resource(F.when(absolute, v).otherwise(F.concat(F.lit(base), v))))
+
+    @F.pandas_udf(T.StringType())
+    def resolved(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda r: urljoin(base, r), na_action="ignore")
+
+    relative = resolved(v) if base else v
+    return F.when(ok, resource(F.when(absolute, v).otherwise(relative)))
 
 
 def bnode(label: Column, row_id: Column) -> Column:
@@ -386,8 +431,12 @@ def strlen(t: Column) -> Column:
 
 
 def substr(t: Column, start: Column, length: Column | None = None) -> Column:
-    n = length if length is not None else F.length(t["value"])
-    return _keep(t, F.substring(t["value"], start.cast("int"), n.cast("int")))
+    """Characters at positions from ``start`` up to ``start + length``, both
+    rounded; positions outside of the string are none."""
+    first = F.floor(start + F.lit(0.5))
+    after = F.length(t["value"]) + 1 if length is None else first + F.floor(length + F.lit(0.5))
+    begin = F.greatest(first, F.lit(1))
+    return _keep(t, t["value"].substr(begin.cast("int"), F.greatest(after - begin, F.lit(0)).cast("int")))
 
 
 def ucase(t: Column) -> Column:

@@ -8,7 +8,7 @@ from quadrille import model as m
 from quadrille.functions import text as tx
 from quadrille.operators import taxonomy as tax
 from quadrille.operators.aggregates import mint_iris, preferred_label
-from quadrille.operators.entities import DECLARED_KIND, drop_redundant_thing
+from quadrille.operators.entities import DECLARED_KIND, drop_orphan_lists, drop_redundant_thing, intersections
 from quadrille.operators.paths import reach
 from quadrille.operators.patterns import validate_cells
 from quadrille.operators.updates import as_set, insert_data, subtract
@@ -157,7 +157,7 @@ def edit_edges(quads: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame
     return insert_data(out, new), rows.filter("refused is not null").select("id", "op", "refused")
 
 
-def set_intersection(quads: DataFrame, rows: DataFrame, axiom: str = m.EQUIVALENT) -> DataFrame:
+def set_intersection(quads: DataFrame, rows: DataFrame, relation: str = m.EQUIVALENT) -> DataFrame:
     """Define classes as conjunctions: ``rows(iri, position, member)``, one
     row per member in order; builds the RDF list cells.
 
@@ -171,12 +171,15 @@ def set_intersection(quads: DataFrame, rows: DataFrame, axiom: str = m.EQUIVALEN
         F.concat(base, F.lit("_"), (F.col("position") + 1).cast("string")))
     heads = rows.groupBy("iri").agg(F.min("position").alias("_first"))
     heads = heads.withColumn("expr", base).withColumn("head", F.concat(base, F.lit("_"), F.col("_first").cast("string")))
-    old = quads.join(heads.select(F.col("iri").alias("s"), F.lit(axiom).alias("p")), ["s", "p"], "left_semi").filter(m.is_bnode(F.col("o")))
+    old = quads.join(heads.select(F.col("iri").alias("s"), F.lit(relation).alias("p")), ["s", "p"], "left_semi").filter(m.is_bnode(F.col("o")))
     new = (m.resource_quads(x, F.col("cell"), F.lit(m.FIRST), F.col("member"))
            .unionByName(m.resource_quads(x, F.col("cell"), F.lit(m.REST), nxt))
            .unionByName(m.resource_quads(heads, F.col("expr"), F.lit(m.INTERSECTION), F.col("head")))
-           .unionByName(m.resource_quads(heads, F.col("iri"), F.lit(axiom), F.col("expr"))))
-    return insert_data(subtract(quads, old.select(*m.QUAD_COLS)), new)
+           .unionByName(m.resource_quads(heads, F.col("iri"), F.lit(relation), F.col("expr"))))
+    rest = cut(subtract(quads, old.select(*m.QUAD_COLS)))
+    # the cells of the replaced lists go, unless something else refers to them
+    rest = drop_orphan_lists(rest, intersections(rest), old.select(F.col("o").alias("expr")).distinct())
+    return insert_data(rest, new)
 
 
 def add_parents(quads: DataFrame, parents: DataFrame, classes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:

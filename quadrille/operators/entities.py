@@ -88,7 +88,7 @@ def project_kinds(quads: DataFrame, intersections: DataFrame | None = None) -> D
     kinds = cut(base_kinds(quads))
     classes = kinds.filter(F.col("kind") == "Class").select(F.col("iri").alias("type"))
     typed = entity_types(quads).join(classes, "type", "left_semi").select("iri", F.lit(True).alias("_typed")).distinct()
-    equal = restrictions(quads).filter(F.col("axiom") == m.EQUIVALENT).select("iri").unionAll(
+    equal = restrictions(quads).filter(F.col("relation") == m.EQUIVALENT).select("iri").unionAll(
         quads.filter((F.col("p") == m.EQUIVALENT) & (F.col("o_kind") == "iri")).select("s")).distinct()
     out = (kinds.join(typed, "iri", "left").join(equal.withColumn("_eq", F.lit(True)), "iri", "left"))
     kind = (F.when((F.col("kind") == "Resource") & F.col("_typed"), "Individual")
@@ -99,7 +99,7 @@ def project_kinds(quads: DataFrame, intersections: DataFrame | None = None) -> D
     heads = intersections.select(F.col("expr").alias("iri"), F.lit(True).alias("_head")).distinct()
     members = intersections.filter("issue is null").select(F.col("member").alias("iri"), F.lit(True).alias("_member")).distinct()
     owners = expression_references(quads, intersections).groupBy(F.col("owner").alias("iri")).agg(
-        F.max(F.col("axiom") == m.EQUIVALENT).alias("_defined"))
+        F.max(F.col("relation") == m.EQUIVALENT).alias("_defined"))
     out = out.join(heads, "iri", "left").join(members, "iri", "left").join(owners, "iri", "left")
     named = ~m.is_bnode(F.col("iri"))
     k = F.col("kind")
@@ -151,7 +151,7 @@ def characteristics(quads: DataFrame) -> DataFrame:
 
 def restrictions(quads: DataFrame) -> DataFrame:
     """OWL restrictions behind subClassOf / equivalentClass, one row each:
-    ``(iri, axiom, expr, property, quantifier, filler, cardinality)``."""
+    ``(iri, relation, expr, property, quantifier, filler, cardinality)``."""
     p = F.col("p")
     tests = [m.OWL + q for q in QUANTIFIERS]
     on_property = F.when(p == m.OWL + "onProperty", F.struct("pos", "o"))
@@ -159,11 +159,11 @@ def restrictions(quads: DataFrame) -> DataFrame:
     bodies = quads.filter(p.isin([m.OWL + "onProperty", *tests])).groupBy(F.col("s").alias("expr")).agg(
         F.min(on_property).alias("prop"), F.min(quantified).alias("q")).filter("prop is not null and q is not null")
     owners = quads.filter(p.isin(m.SUBCLASS, m.EQUIVALENT) & m.is_resource()).select(
-        F.col("s").alias("iri"), p.alias("axiom"), F.col("o").alias("expr"))
+        F.col("s").alias("iri"), p.alias("relation"), F.col("o").alias("expr"))
     rows = owners.join(bodies, "expr")
     literal = F.col("q.o_kind") == "literal"
     return rows.select(
-        "iri", "axiom", "expr", F.col("prop.o").alias("property"),
+        "iri", "relation", "expr", F.col("prop.o").alias("property"),
         _lookup({m.OWL + k: v for k, v in QUANTIFIERS.items()}, F.col("q.p")).alias("quantifier"),
         F.when(~literal, F.col("q.o")).alias("filler"),
         F.when(literal & F.col("q.o").rlike(r"^\d+$"), F.col("q.o").try_cast("long")).alias("cardinality"))
@@ -237,12 +237,12 @@ def intersections(quads: DataFrame) -> DataFrame:
 
 
 def expression_references(quads: DataFrame, conj: DataFrame) -> DataFrame:
-    """(owner, expr, axiom): named owners of a conjunction; equivalentClass
+    """(owner, expr, relation): named owners of a conjunction; equivalentClass
     counts in both directions."""
     rows = quads.filter(F.col("p").isin(m.SUBCLASS, m.EQUIVALENT) & m.is_resource())
-    there = rows.select(F.col("s").alias("owner"), F.col("o").alias("expr"), F.col("p").alias("axiom"))
+    there = rows.select(F.col("s").alias("owner"), F.col("o").alias("expr"), F.col("p").alias("relation"))
     back = rows.filter(F.col("p") == m.EQUIVALENT).select(
-        F.col("o").alias("owner"), F.col("s").alias("expr"), F.col("p").alias("axiom"))
+        F.col("o").alias("owner"), F.col("s").alias("expr"), F.col("p").alias("relation"))
     known = conj.select("expr").distinct()
     refs = there.unionAll(back).filter(~m.is_bnode(F.col("owner"))).distinct()
     return refs.join(known, "expr", "left_semi")
@@ -252,7 +252,7 @@ def _owned(quads: DataFrame, conj: DataFrame) -> DataFrame:
     """References plus the classes that are a conjunction themselves."""
     refs = expression_references(quads, conj)
     own = conj.filter(~m.is_bnode(F.col("expr"))).select(
-        F.col("expr").alias("owner"), "expr", F.lit(m.EQUIVALENT).alias("axiom")).distinct()
+        F.col("expr").alias("owner"), "expr", F.lit(m.EQUIVALENT).alias("relation")).distinct()
     return refs.unionByName(own)
 
 
@@ -283,12 +283,12 @@ def taxonomy_edges(quads: DataFrame, kinds: DataFrame, conj: DataFrame) -> DataF
 
 
 def intersection_edges(quads: DataFrame, conj: DataFrame) -> DataFrame:
-    """Branches (owner, axiom, expr, member) with anonymous conjunctions
+    """Branches (owner, relation, expr, member) with anonymous conjunctions
     flattened and other members kept as they are."""
     follow = conj.filter(m.is_bnode(F.col("expr"))).select("expr").distinct()
     members = _nested(conj, follow)
     owned = _owned(quads, conj).filter(m.is_bnode(F.col("expr")) | (F.col("expr") == F.col("owner")))
-    return owned.join(members, "expr").filter("member <> owner").select("owner", "axiom", "expr", "member").distinct()
+    return owned.join(members, "expr").filter("member <> owner").select("owner", "relation", "expr", "member").distinct()
 
 
 def labels(quads: DataFrame) -> DataFrame:

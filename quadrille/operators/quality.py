@@ -424,7 +424,7 @@ def evidence(findings: DataFrame, quads: DataFrame, options: Options | None = No
     """Own statements that support each finding, one row each."""
     o = options or Options()
     p, rule = F.col("p"), F.col("rule")
-    axioms = p.isin(m.SUBCLASS, m.EQUIVALENT)
+    defining = p.isin(m.SUBCLASS, m.EQUIVALENT)
     skos = p.isin(m.PREF, m.ALT, m.SKOS + "hiddenLabel")
     shows = (F.when(rule.isin("label.missing", "structure.isolated", "structure.declaration", "analysis.excluded"), F.lit(True))
              .when(rule == "label.empty", p.isin(o.labels) & ~_text())
@@ -434,7 +434,7 @@ def evidence(findings: DataFrame, quads: DataFrame, options: Options | None = No
              .when(rule == "definition.duplicate", p.isin(o.definitions)).when(rule == "description.repeated", p.isin(o.descriptions))
              .when(rule == "alias.empty", is_alias() & ~_text()).when(rule == "alias.legacy", (p == m.SEE_ALSO) & m.is_literal())
              .when(rule.startswith("alias."), is_alias())
-             .when(rule.isin("structure.component", "structure.cycle"), axioms)
+             .when(rule.isin("structure.component", "structure.cycle"), defining)
              .when(rule.isin("structure.parent", "structure.type"), p == m.TYPE)
              .when(rule == "structure.unresolved", m.is_resource())
              .when(rule == "property.multiple", p.isin(m.DOMAIN, m.RANGE))

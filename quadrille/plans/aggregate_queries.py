@@ -130,13 +130,13 @@ def predicate_options(src):
     return ag.predicate_options(q, en.base_kinds(q))
 
 
-@query("A13", "vocabulary_in_use", data="catalog axioms", sql=f"""
+@query("A13", "vocabulary_in_use", data="catalog definitions", sql=f"""
     SELECT CASE WHEN starts_with(iri, '{m.RDFS}') THEN 'rdfs' WHEN starts_with(iri, '{m.OWL}') THEN 'owl'
       WHEN starts_with(iri, '{m.SKOS}') THEN 'skos' END AS vocabulary, iri, count(*) AS uses
     FROM (SELECT p AS iri FROM quads UNION ALL SELECT o FROM quads WHERE p = '{TYPE}')
     WHERE starts_with(iri, '{m.RDFS}') OR starts_with(iri, '{m.OWL}') OR starts_with(iri, '{m.SKOS}') GROUP BY ALL""")
 def vocabulary_in_use(src):
-    return ag.vocabulary_census(src.loaded("catalog", "axioms"))
+    return ag.vocabulary_census(src.loaded("catalog", "definitions"))
 
 
 _KINDS_SQL = f"""
@@ -392,12 +392,12 @@ def construct_fresh_nodes(src):
     return out.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("nodes"))
 
 
-@query("U6 P9", "describe_with_blank_nodes", data="axioms", sql=f"""
+@query("U6 P9", "describe_with_blank_nodes", data="definitions", sql=f"""
     WITH roots AS (SELECT DISTINCT s FROM quads WHERE s LIKE '%/part/%1'), walk AS (SELECT s AS root, s AS node FROM roots
       UNION SELECT w.root, q.o FROM walk w JOIN quads q ON q.s = w.node WHERE q.o_kind = 'bnode')
     SELECT DISTINCT q.s, q.p, q.o FROM walk w JOIN quads q ON q.s = w.node""")
 def describe_with_blank_nodes(src):
-    q = src.loaded("axioms")
+    q = src.loaded("definitions")
     roots = q.filter(F.col("s").rlike(r"/part/.*1$")).select(F.col("s").alias("iri")).distinct()
     return up.describe(q, roots).select("s", "p", "o").distinct()
 

@@ -174,7 +174,7 @@ DATASETS: dict[str, list[TableMap]] = {
         )),
     ],
     # anonymous class expressions hanging off the part classes
-    "axioms": [
+    "definitions": [
         TableMap("part", _PART, "4000000000 + p_partkey", (
             Fact(m.SUBCLASS, "'_:r' || p_partkey", "bnode", where="p_size % 10 < 2"),
             Fact(m.OWL + "onProperty", _const(EX + "madeBy"), subject="'_:r' || p_partkey",

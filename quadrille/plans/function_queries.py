@@ -15,14 +15,14 @@ def _q(p: str) -> str:
     return f"(SELECT s, o FROM quads WHERE p = '{p}')"
 
 
-@query("X1 X2 X3 X5 X6 X7 X8", "term_tests", data="customers suppliers axioms", sql=f"""
+@query("X1 X2 X3 X5 X6 X7 X8", "term_tests", data="customers suppliers definitions", sql=f"""
     SELECT p, count(*) AS n, count(*) FILTER (WHERE o_kind = 'iri') AS iris, count(*) FILTER (WHERE o_kind = 'bnode') AS blanks,
       count(*) FILTER (WHERE o_kind = 'literal') AS literals, count(*) FILTER (WHERE o_datatype IN ('{XSD}decimal', '{XSD}nonNegativeInteger')) AS numbers
     FROM quads GROUP BY p""")
 def term_tests(src):
     o = t.object_term()
     n = F.count_if
-    return src.quads("customers", "suppliers", "axioms").groupBy("p").agg(
+    return src.quads("customers", "suppliers", "definitions").groupBy("p").agg(
         n(t.bound(o)).alias("n"), n(t.is_iri(o)).alias("iris"), n(t.is_blank(o)).alias("blanks"),
         n(t.is_literal(o)).alias("literals"), n(t.is_numeric(o)).alias("numbers"))
 

@@ -365,29 +365,29 @@ def property_characteristics(src):
     return en.characteristics(src.loaded("catalog"))
 
 
-@query("E4", "restriction_rows", data="axioms catalog", sql=f"""
-    SELECT a.s AS iri, a.p AS axiom, b.o AS property, CASE WHEN c.p LIKE '%some%' THEN 'some' ELSE 'min' END AS quantifier,
+@query("E4", "restriction_rows", data="definitions catalog", sql=f"""
+    SELECT a.s AS iri, a.p AS relation, b.o AS property, CASE WHEN c.p LIKE '%some%' THEN 'some' ELSE 'min' END AS quantifier,
       CASE WHEN c.o_kind = 'iri' THEN c.o END AS filler, CASE WHEN c.o_kind = 'literal' THEN c.o END AS cardinality
     FROM quads a JOIN quads b ON a.o = b.s AND b.p = '{m.OWL}onProperty' JOIN quads c ON c.s = a.o AND c.p IN ('{m.OWL}someValuesFrom', '{m.OWL}minCardinality')
     WHERE a.p = '{SUBCLASS}'""")
 def restriction_rows(src):
-    out = en.restrictions(src.loaded("axioms", "catalog"))
-    return out.select("iri", "axiom", "property", "quantifier", "filler", F.col("cardinality").cast("string").alias("cardinality"))
+    out = en.restrictions(src.loaded("definitions", "catalog"))
+    return out.select("iri", "relation", "property", "quantifier", "filler", F.col("cardinality").cast("string").alias("cardinality"))
 
 
-@query("E5", "flattened_restrictions", data="axioms", sql=f"""
+@query("E5", "flattened_restrictions", data="definitions", sql=f"""
     SELECT DISTINCT a.s AS src, b.o AS pred, c.o AS dst FROM quads a JOIN quads b ON a.o = b.s AND b.p = '{m.OWL}onProperty'
     JOIN quads c ON c.s = a.o AND c.p = '{m.OWL}someValuesFrom' WHERE a.p = '{SUBCLASS}'""")
 def flattened_restrictions(src):
-    return en.flatten_restrictions(en.restrictions(src.loaded("axioms")))
+    return en.flatten_restrictions(en.restrictions(src.loaded("definitions")))
 
 
-@query("E6 E7", "conjunction_members", data="axioms", sql=f"WITH {_CONJ} SELECT expr, pos, member, cast(NULL AS varchar) AS issue FROM lst")
+@query("E6 E7", "conjunction_members", data="definitions", sql=f"WITH {_CONJ} SELECT expr, pos, member, cast(NULL AS varchar) AS issue FROM lst")
 def conjunction_members(src):
-    return en.intersections(src.loaded("axioms")).select("expr", F.col("pos").cast("long").alias("pos"), "member", "issue")
+    return en.intersections(src.loaded("definitions")).select("expr", F.col("pos").cast("long").alias("pos"), "member", "issue")
 
 
-@query("E7", "kinds_with_conjunctions", data="catalog axioms", sql=f"""
+@query("E7", "kinds_with_conjunctions", data="catalog definitions", sql=f"""
     SELECT kind, count(*) AS n FROM (SELECT iri, CASE WHEN iri IN (SELECT s FROM quads WHERE p = '{m.INTERSECTION}') THEN 'Intersection'
         WHEN iri IN (SELECT s FROM quads WHERE p = '{m.EQUIVALENT}') THEN 'Defined'
         WHEN starts_with(iri, '_:l') OR starts_with(iri, '_:r') THEN 'Resource'
@@ -396,59 +396,59 @@ def conjunction_members(src):
       FROM (SELECT s AS iri FROM quads WHERE NOT (starts_with(s, '_:r') AND s NOT IN (SELECT o FROM quads WHERE p = '{SUBCLASS}'))
         UNION SELECT o FROM quads WHERE o_kind <> 'literal')) GROUP BY kind""")
 def kinds_with_conjunctions(src):
-    q = src.loaded("catalog", "axioms")
+    q = src.loaded("catalog", "definitions")
     return count_by(en.project_kinds(q, en.intersections(q)), "kind")
 
 
-@query("E8", "taxonomy_edges", data="catalog axioms", sql=f"""WITH {_CONJ}
+@query("E8", "taxonomy_edges", data="catalog definitions", sql=f"""WITH {_CONJ}
     SELECT src, dst FROM (SELECT s AS src, o AS dst FROM quads WHERE p IN ('{SUBCLASS}', '{m.SUBPROPERTY}') AND o_kind = 'iri'
       UNION SELECT q.s, lst.member FROM quads q JOIN lst ON lst.expr = q.o WHERE q.p IN ('{SUBCLASS}', '{m.EQUIVALENT}')) WHERE src <> dst""")
 def taxonomy_edges(src):
-    q = src.loaded("catalog", "axioms")
+    q = src.loaded("catalog", "definitions")
     conj = en.intersections(q)
     return en.taxonomy_edges(q, en.project_kinds(q, conj), conj)
 
 
-@query("E9", "conjunction_branches", data="catalog axioms", sql=f"""WITH {_CONJ}
-    SELECT DISTINCT q.s AS owner, q.p AS axiom, lst.expr, lst.member FROM quads q JOIN lst ON lst.expr = q.o
+@query("E9", "conjunction_branches", data="catalog definitions", sql=f"""WITH {_CONJ}
+    SELECT DISTINCT q.s AS owner, q.p AS relation, lst.expr, lst.member FROM quads q JOIN lst ON lst.expr = q.o
     WHERE q.p IN ('{SUBCLASS}', '{m.EQUIVALENT}') AND lst.member <> q.s""")
 def conjunction_branches(src):
-    q = src.loaded("catalog", "axioms")
+    q = src.loaded("catalog", "definitions")
     return en.intersection_edges(q, en.intersections(q))
 
 
-@query("E10", "expression_texts", data="catalog axioms", sql=f"""
+@query("E10", "expression_texts", data="catalog definitions", sql=f"""
     WITH l AS MATERIALIZED (SELECT s, o FROM {LABEL_PICK})
     SELECT a.o AS iri, 'made By ' || CASE WHEN c.p LIKE '%some%' THEN 'some ' ELSE 'min ' END || CASE WHEN c.o_kind = 'iri' THEN coalesce(l.o, regexp_extract(c.o, '[^/#]*$')) ELSE c.o END AS label
     FROM (SELECT DISTINCT o FROM quads WHERE p = '{SUBCLASS}' AND o_kind = 'bnode') a JOIN quads c ON c.s = a.o AND c.p IN ('{m.OWL}someValuesFrom', '{m.OWL}minCardinality')
     LEFT JOIN l ON l.s = c.o
     UNION ALL SELECT s, 'Intersection' FROM quads WHERE p = '{m.INTERSECTION}'""")
 def expression_texts(src):
-    q = src.loaded("catalog", "axioms")
+    q = src.loaded("catalog", "definitions")
     return en.expression_labels(q, en.intersections(q))
 
 
-@query("E11 E12", "simplified_conjunctions", data="catalog axioms", sql=f"""WITH {_CONJ},
+@query("E11 E12", "simplified_conjunctions", data="catalog definitions", sql=f"""WITH {_CONJ},
     gone AS MATERIALIZED (SELECT o AS expr FROM quads WHERE p = '{SUBCLASS}' AND o IN (SELECT expr FROM h))
     SELECT s, p, o FROM quads WHERE s NOT IN (FROM gone) AND o NOT IN (FROM gone) AND s NOT IN (SELECT cell FROM lst WHERE expr IN (FROM gone))
     UNION SELECT q.s, q.p, lst.member FROM quads q JOIN lst ON lst.expr = q.o WHERE q.p = '{SUBCLASS}'""")
 def simplified_conjunctions(src):
-    q = src.loaded("catalog", "axioms")
+    q = src.loaded("catalog", "definitions")
     return en.simplify_subclass_intersections(q, en.intersections(q)).select("s", "p", "o")
 
 
-@query("E12", "orphan_lists_dropped", data="axioms", sql=f"""WITH {_CONJ}
+@query("E12", "orphan_lists_dropped", data="definitions", sql=f"""WITH {_CONJ}
     SELECT p, count(*) AS n FROM quads WHERE p <> '{SUBCLASS}' AND p <> '{m.EQUIVALENT}' AND s NOT IN (SELECT expr FROM h) AND s NOT IN (SELECT cell FROM lst) GROUP BY p""")
 def orphan_lists_dropped(src):
-    q = src.loaded("axioms").filter(~F.col("p").isin(SUBCLASS, m.EQUIVALENT))
+    q = src.loaded("definitions").filter(~F.col("p").isin(SUBCLASS, m.EQUIVALENT))
     conj = en.intersections(q)
     return count_by(en.drop_orphan_lists(q, conj, conj.select("expr").distinct()), "p")
 
 
-@query("E13", "plain_parent_expressions", data="catalog axioms", sql=f"""WITH {_CONJ}
+@query("E13", "plain_parent_expressions", data="catalog definitions", sql=f"""WITH {_CONJ}
     SELECT DISTINCT lst.expr, lst.member FROM lst JOIN quads q ON q.o = lst.expr AND q.p = '{SUBCLASS}'""")
 def plain_parent_expressions(src):
-    q = src.loaded("catalog", "axioms")
+    q = src.loaded("catalog", "definitions")
     conj = en.intersections(q)
     return en.simple_parent_expressions(q, en.project_kinds(q, conj), conj)
 

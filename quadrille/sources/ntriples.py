@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quadrille import model as m
 from quadrille.operators.updates import as_set
 
-_RES = r"(?:<[^<>\"{}|^`\\\x00-\x20]*>|_:[A-Za-z0-9_][^\s<>\"]*)"
+_RES = r"(?:<[^<>\"{}|^`\x00-\x20]*>|_:[A-Za-z0-9_][^\s<>\"]*)"
+_BAD_ESCAPE = r"\\(?!u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"
 # A lazy run up to a quote without an odd number of backslashes before it: unlike
 # a repeated group it costs Java's matcher no stack on long literals, and the
 # backslashes are counted only at quotes.
@@ -17,7 +18,8 @@ _TAIL = rf"\s*({_RES})?\s*\.\s*(?:#.*)?$"
 
 
 def _bare(c: Column) -> Column:
-    return F.when(c.startswith("<"), F.regexp_extract(c, "^<(.*)>$", 1)).otherwise(c)
+    inside = F.regexp_extract(c, "^<(.*)>$", 1)
+    return F.when(c.startswith("<"), _unescape(inside)).otherwise(c)
 
 
 def _unescape(c: Column) -> Column:
@@ -32,7 +34,7 @@ def _unescape(c: Column) -> Column:
         return F.when(n > 65535, pair).otherwise(F.concat(F.lit("\\u"), F.substring(code, 5, 4)))
 
     text = F.aggregate(wide, c, lambda acc, code: F.replace(acc, F.concat(F.lit("\\U"), code), as_json(code)))
-    text = F.regexp_replace(F.regexp_replace(text, r"\\'", "'"), "\t", r"\\\\t")
+    text = F.regexp_replace(F.regexp_replace(text, r"\\'", "'"), "\t", r"\\t")
     parsed = F.get_json_object(F.concat(F.lit('{"v":"'), text, F.lit('"}')), "$.v")
     return F.when(c.contains("\\"), parsed).otherwise(c)
 
@@ -52,7 +54,9 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     x = x.withColumn("_v3", F.substr(F.col("_v2"), F.length("t") + 1))
     inside = F.regexp_extract("t", r'^"(.*)"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?$', 1)
     stray = F.col("t").startswith('"') & F.regexp_replace(inside, r"\\.", "").rlike(r'["\\]')
-    x = x.withColumn("_ok", (F.col("_s") != "") & (F.col("_p") != "") & (F.col("t") != "") & ~stray)
+    x = x.withColumn("_ok", (F.col("_s") != "") & (F.col("_p") != "") & (F.col("t") != "") & ~stray
+                     & ~F.concat("_s", "_p", F.when(F.col("t").startswith('"'), "").otherwise(F.col("t")),
+                                 F.regexp_extract("_v3", "^" + _TAIL, 1)).rlike(_BAD_ESCAPE))
     bad = x.filter("not _ok").select(F.col("value").alias("line"))
     t = x.filter("_ok").select(F.trim("_s").alias("s"), F.trim("_p").alias("p"), "t",
                                F.regexp_extract("_v3", "^" + _TAIL, 1).alias("g"), *rest)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadrille import model as m
@@ -71,9 +70,9 @@ def context_drift(old: DataFrame, new: DataFrame) -> DataFrame:
     """(iri, reason): first aspect of a class that changed between versions.
 
     Rows are ``(iri, aspect, value)`` with aspects label, comment, parents,
-    axioms and ancestry.
+    definitions and ancestry.
     """
-    order = ["label", "comment", "parents", "axioms", "ancestry"]
+    order = ["label", "comment", "parents", "definitions", "ancestry"]
 
     def signed(d: DataFrame, name: str) -> DataFrame:
         return d.distinct().groupBy("iri", "aspect").agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(_digest(["value"])).alias("d")).alias(name))
@@ -104,44 +103,29 @@ def apply_subject_updates(quads: DataFrame, updates: DataFrame, removed: DataFra
     return quads.join(touched, "s", "left_anti").select(*m.QUAD_COLS).unionByName(updates.select(*m.QUAD_COLS))
 
 
-def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(*m.STATEMENT), F.lit(buckets)).cast("int"))
-
-
-def write_table(quads: DataFrame, path: str, buckets: int = 256) -> None:
-    """Store quads in statement-hash buckets, the unit a delta batch rewrites.
-    Hashing the whole statement keeps a hot subject spread over all buckets."""
-    rows = _bucketed(quads.select(*m.QUAD_COLS).withColumn("live", F.lit(True)).withColumn("seq", F.lit(-1).cast("long")), buckets)
-    rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_table(quads: DataFrame, path: str) -> None:
+    """Store quads as the first entries of a delta log: every row says which
+    statement it sets, live or not, and the sequence number that did."""
+    quads.select(*m.QUAD_COLS).withColumns({"live": F.lit(True), "seq": F.lit(-1).cast("long")}).write.mode("overwrite").parquet(path)
 
 
 def read_table(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).filter("live").select(*m.QUAD_COLS)
+    """The statements whose latest entry is live."""
+    newest = F.max(F.struct("seq", "live", "pos")).alias("x")
+    rows = spark.read.parquet(path).groupBy(*m.STATEMENT).agg(newest).filter("x.live")
+    return rows.withColumn("pos", F.col("x.pos")).select(*m.QUAD_COLS)
 
 
-def stream_deltas(stream: DataFrame, path: str, checkpoint: str, buckets: int = 256):
-    """Apply a stream of deltas to a table made by ``write_table``.
+def stream_deltas(stream: DataFrame, path: str, checkpoint: str):
+    """Append a stream of deltas to a table made by ``write_table``.
 
-    A batch reads and rewrites only the buckets it touches.  Removed
-    statements stay as rows that are not live, so an emptied bucket is
-    overwritten too.  Every row keeps the sequence number that set it and the
-    highest wins, so late or retried batches give the same table.
+    A batch adds its own latest entries and reads nothing.  The highest
+    sequence number wins on reading, so late and retried batches give the same
+    statements; ``write_table(read_table(...), other_path)`` compacts the log.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = cut(_bucketed(latest_deltas(batch), buckets))
-        touched = [r[0] for r in last.select("bucket").distinct().collect()]   # at most one number per bucket
-        if not touched:
-            return
-        now = last.select(*m.QUAD_COLS, (F.col("op") == "add").alias("live"), "seq", "bucket")
-        try:
-            before = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).select(*now.columns)
-        except AnalysisException:   # an empty table has no files to infer from
-            before = now.limit(0)
-        newest = F.max(F.struct("seq", "live", "pos"))
-        after = before.unionByName(now).groupBy(*m.STATEMENT, "bucket").agg(newest.alias("x")).select(
-            *m.STATEMENT, F.col("x.pos").alias("pos"), F.col("x.live").alias("live"), F.col("x.seq").alias("seq"), "bucket")
-        (cut(after).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+        rows = latest_deltas(batch).withColumn("live", F.col("op") == "add")
+        rows.select(*m.QUAD_COLS, "live", "seq").write.mode("append").parquet(path)
 
     return (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

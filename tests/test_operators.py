@@ -283,3 +283,66 @@ def test_construct_skips_bad_rows(spark):
     df = spark.range(2).select(t.literal(F.col("id").cast("string")).alias("x"), t.resource(F.when(F.col("id") == 0, EX + "s")).alias("y"))
     out = up.construct(df, [("?y", EX + "p", "?x"), ("?x", EX + "p", "?y"), ("_:n", EX + "q", "?x")])
     assert sorted((r.p, r.o) for r in out.collect()) == [(EX + "p", "0"), (EX + "q", "0"), (EX + "q", "1")]
+
+
+def test_substrings_by_position(spark):
+    s = t.literal("abcde")
+    got = one(spark, *[t.substr(s, F.lit(a), F.lit(n)).alias(f"c{i}") for i, (a, n) in enumerate([(0, 3), (-1, 4), (2, 2), (4, 9), (9, 1), (1.5, 2.6)])],
+              t.substr(s, F.lit(3)).alias("rest"))
+    assert [got[f"c{i}"].value for i in range(6)] == ["ab", "ab", "bc", "de", "", "bcd"] and got.rest.value == "cde"
+
+
+def test_exact_numbers(spark):
+    big = "1234567890123456789012345"
+    r = one(spark, t.term_cmp(t.literal(big, t.INTEGER), "=", t.literal(big[:-1] + "6", t.INTEGER)).alias("equal"),
+            t.arith(t.literal(big, t.INTEGER), "+", t.literal("1", t.INTEGER)).alias("sum"),
+            t.arith(t.literal("9" * 38, t.INTEGER), "*", t.literal("9" * 38, t.INTEGER)).alias("over"),
+            t.arith(t.literal("1", t.INTEGER), "/", t.literal("3", t.INTEGER)).alias("third"))
+    assert r.equal is False and r.sum.value == "1234567890123456789012346" and r.sum.datatype == t.INTEGER
+    assert r.over is None and r.third.value == "0." + "3" * 18
+
+
+def test_moments_without_zone(spark):
+    def at(v):
+        return t.literal(v, t.DATETIME)
+    r = one(spark, t.term_cmp(at("2020-01-01T00:00:00"), "=", at("2020-01-01T00:00:00Z")).alias("open"),
+            t.term_cmp(at("2020-01-01T00:00:00"), "<", at("2020-01-02T00:00:00Z")).alias("far"),
+            t.term_cmp(at("2020-01-01T00:00:00"), "=", at("2020-01-01T00:00:00")).alias("both"))
+    assert r.open is None and r.far is True and r.both is True
+
+
+def test_relative_iris(spark):
+    base = "http://a/b/c/d?q"
+    r = one(spark, *[t.iri(t.literal(v), base).alias(f"c{i}") for i, v in enumerate(["../x", "g", "/g", "#s", "http://z/"])])
+    assert [r[f"c{i}"].value for i in range(5)] == ["http://a/b/x", "http://a/b/c/g", "http://a/g", "http://a/b/c/d?q#s", "http://z/"]
+
+
+def test_reader_keeps_tabs_and_escaped_iris(spark):
+    lines = ['<http://a/\\u00e9> <http://p> "x\ty\\n" .', '<http://a/\\x> <http://p> "x" .']
+    good, bad = nt.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    row = good.first()
+    assert row.s == "http://a/é" and row.o == "x\ty\n" and bad.count() == 1
+
+
+def test_composed_and_full_width_names(spark):
+    r = one(spark, tx.name_key(F.lit("ＡＢ")).alias("k"), tx.identifier_from_label(F.lit("ﬁsh")).alias("i"),
+            tx.text_distance(F.lit("caf\u00e9"), F.lit("cafe\u0301")).alias("d"))
+    assert r.k == "ab" and r.i == "Fish" and r.d == 0
+
+
+def test_redefined_conjunction_leaves_no_cells(spark):
+    from quadrille.operators import edits as ed
+    rows = [("c", k, EX + f"m{k}") for k in range(3)]
+    frame = lambda r: spark.createDataFrame([(EX + a, b, c) for a, b, c in r], "iri string, position int, member string")
+    first = ed.set_intersection(quads(spark, [("x", "y", "z")]), frame(rows))
+    second = ed.set_intersection(first, frame(rows[:2]))
+    assert first.count() == 1 + 8 and second.count() == 1 + 6
+    assert second.filter(F.col("p") == m.REST).groupBy("s").count().filter("count > 1").isEmpty()
+
+
+def test_comments_with_several_edits(spark):
+    rows = [("one two three four", "ONE two three four", "one two three FOUR"), ("a b c d e", "a B c D e", "a b C d e"),
+            ("a b", "a x", "a y"), ("a b", "a c", "a c"), ("a", None, "a")]
+    df = spark.createDataFrame(rows, "base string, l string, r string")
+    got = [x[0] for x in df.select(mg.merge_text("base", "l", "r")).collect()]
+    assert got == ["ONE two three FOUR", "a B C D e", None, "a c", None]
