@@ -29,7 +29,7 @@ from quadrille.session import global_index
 WINDOW, SEED = 100, 32
 SPAN = WINDOW - SEED + 1        # seeds in a window
 #: bytes of contexts in one suffix array; occurrences of an anchor in one shard
-SHARD_BYTES, SHARD_ANCHORS = 4 << 20, 50_000
+SHARD_BYTES, SHARD_ANCHORS, SALTS = 4 << 20, 50_000, 61
 
 
 def seed_hashes(b: np.ndarray) -> np.ndarray:
@@ -163,7 +163,9 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """seed, doc, at = first window * 128 + number of further windows."""
+    """seed, doc, at = first window * 128 + number of further windows; the first
+    row of a seed in a batch also tells how many there are (``local``), the
+    others are known to be repeated and are spread by ``salt``."""
     for pdf in batches:
         seeds, docs, at = [], [], []
         for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
@@ -171,25 +173,32 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seeds.append(h.astype(np.int64))
             docs.append(np.full(len(h), doc, np.int64))
             at.append(first * 128 + (last - first))
-        if seeds:
-            yield pd.DataFrame({"seed": np.concatenate(seeds), "doc": np.concatenate(docs), "at": np.concatenate(at)})
+        if not seeds:
+            continue
+        seed = np.concatenate(seeds)
+        order = np.argsort(seed)
+        heads = np.flatnonzero(np.concatenate([[True], seed[order][1:] != seed[order][:-1]]))[:len(seed)]
+        size = np.diff(np.append(heads, len(seed)))
+        turn = np.empty(len(seed), np.int64)
+        turn[order] = np.arange(len(seed)) - np.repeat(heads, size)
+        local = np.zeros(len(seed), np.int64)
+        local[order[heads]] = size
+        yield pd.DataFrame({"seed": seed, "doc": np.concatenate(docs), "at": np.concatenate(at),
+                            "salt": np.where(turn > 0, 1 + turn % SALTS, 0), "local": local})
 
 
 def _context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Contexts of repeated anchors, equal ones of a batch once, at their earliest place."""
     for pdf in batches:
         least: dict[tuple[int, bytes], tuple[int, int]] = {}
-        often: dict[int, int] = {}
         for doc, text, suspects in zip(pdf["doc"], pdf["text"], pdf["suspects"], strict=True):
             data = text.encode()
             for s in suspects:
                 lo, more = divmod(s["at"], 128)
                 key = (s["seed"], data[lo:lo + more + WINDOW])
                 least[key] = min(least.get(key, (doc, lo)), (doc, lo))
-                often[s["seed"]] = s["n"]
-        rows = [(h, int.from_bytes(hashlib.blake2b(c, digest_size=4).digest()) % (often[h] // SHARD_ANCHORS + 1), often[h] > SHARD_ANCHORS, c, d, lo)
-                for (h, c), (d, lo) in least.items()]
-        yield pd.DataFrame(rows, columns=["seed", "salt", "spread", "context", "doc", "lo"])
+        rows = [(h, int.from_bytes(hashlib.blake2b(c, digest_size=4).digest()), c, d, lo) for (h, c), (d, lo) in least.items()]
+        yield pd.DataFrame(rows, columns=["seed", "mixed", "context", "doc", "lo"])
 
 
 def _shard_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,12 +294,15 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     d = pick(docs, doc_id=doc_id, text=text)
     rows, index = _numbered(d)
-    w = W.partitionBy("seed")
-    found = rows.filter(F.octet_length("text") >= WINDOW).mapInPandas(_anchor_rows, "seed long, doc long, at long")
-    again = found.withColumn("n", F.count(F.lit(1)).over(w)).filter("n > 1")
+    found = rows.filter(F.octet_length("text") >= WINDOW).mapInPandas(_anchor_rows, "seed long, doc long, at long, salt long, local long")
+    again = found.withColumn("n", F.sum("local").over(W.partitionBy("seed", "salt"))).filter("salt > 0 OR n > 1")
     suspects = again.groupBy("doc").agg(F.collect_list(F.struct("seed", "at", "n")).alias("suspects"))
     candidates = written(rows.join(suspects, "doc"), "suffix-candidates")
-    contexts = candidates.mapInPandas(_context_rows, "seed long, salt long, spread boolean, context binary, doc long, lo long")
+    # anchors so frequent that their contexts take several shards
+    hot = candidates.select(F.explode("suspects").alias("s")).filter(F.col("s.n") > SHARD_ANCHORS)
+    hot = written(hot.groupBy("s.seed").agg((F.floor(F.max("s.n") / SHARD_ANCHORS) + 1).alias("shards")), "suffix-hot")
+    contexts = candidates.mapInPandas(_context_rows, "seed long, mixed long, context binary, doc long, lo long").join(hot, "seed", "left")
+    contexts = contexts.select("seed", F.coalesce(F.col("mixed") % F.col("shards"), F.lit(0)).alias("salt"), F.col("shards").isNotNull().alias("spread"), "context", "doc", "lo")
     firsts = written(contexts.repartition("seed", "salt").sortWithinPartitions("seed", "salt")
                      .mapInPandas(_shard_rows, "doc long, `from` long, `to` long, digest binary"), "suffix-firsts")
     merged = firsts.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc", "from")).alias("m")).select("m.doc", "m.from", F.col("m.from").alias("to"))
