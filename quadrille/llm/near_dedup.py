@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quadrille.llm.common import cut, pick, written
+from quadrille.llm.common import col, cut, pick, written
 from quadrille.llm.graph import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -268,5 +268,5 @@ def classes(docs: DataFrame, banding: Banding = Banding(), doc_id: str = "doc_id
 
 def keep_first(docs: DataFrame, banding: Banding = Banding(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of every class: that with the smallest id."""
-    gone = classes(docs, banding, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    gone = classes(docs, banding, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[f"`{doc_id}`"] == gone["__gone"], "left_anti").select(*[col(c) for c in docs.columns])

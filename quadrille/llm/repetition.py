@@ -117,15 +117,15 @@ def measured(docs: DataFrame, text: str = "text", rules: Rules = DEFAULT, into:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t, lengths) for t in texts], columns=[n for n, _ in FIELDS])
 
-    m = F.col("_measured")
+    m = F.col("measured")
     base_failed = (m.n_words < BASE_MIN_WORDS) | (100 * m.n_repeat_words > BASE_REPEAT_PERCENT * m.n_words)
     within = (100 * m.dup_line_chars <= rules.line_percent * m.line_chars) & (100 * m.n_symbols <= rules.symbol_percent * m.n_words)
     for i, (_, percent) in enumerate(rules.ngram_percent):
         within = within & (100 * m.ngram_chars[i] <= percent * m.word_chars)
     own = [c for c in docs.columns if c != into]
-    out = docs.select(*[col(c) for c in own], run(col(text)).alias("_measured"))
+    out = docs.select(F.struct(*[col(c) for c in own]).alias("row"), run(col(text)).alias("measured"))
     fields = [m[n].alias(n) for n, _ in FIELDS]
-    return out.select(*[col(c) for c in own],
+    return out.select(*[F.col("row")[c].alias(c) for c in own],
                       F.struct(*fields, base_failed.alias("base_failed"), (~base_failed & within).alias("kept")).alias(into))
 
 
