@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quadrille.llm.common import col, pick
 
@@ -221,6 +221,13 @@ def leaks(docs: DataFrame, items: DataFrame, search: Search = Search(), doc_id:
     return d.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def _clean(block: Block):
+    @F.pandas_udf(T.BooleanType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([not block.matches(t) for t in texts], dtype=bool)
+    return run
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, search: Search = Search(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item is found, with their columns
     unchanged; the texts are judged in place, without a join."""
@@ -229,10 +236,5 @@ def keep_clean(docs: DataFrame, items: DataFrame, search: Search = Search(), doc
     out = docs
     for entries in _blocks(known):
         block = Block(entries, search)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, block: Block = block) -> pd.Series:
-            return pd.Series([not block.matches(t) for t in texts], dtype=bool)
-
-        out = out.filter(clean(col(text)))
+        out = out.filter(_clean(block)(col(text)))
     return out.select(*[col(c) for c in own])

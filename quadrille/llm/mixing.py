@@ -85,7 +85,7 @@ def weighted_cells(cells: DataFrame, mix: Mix = Mix()) -> DataFrame:
     is zero gets weight zero; targets that no weights can meet are met as
     nearly as the last pass leaves them.  Up to ONE_TASK_CELLS cells, counted
     first, are raked in one task without a shuffle; more are raked by grouped
-    sums that are joined back, with a checkpoint each round.
+    sums that are joined back, with a checkpoint each time.
     """
     dims = [d for d in DIMENSIONS if d in mix.targets]
     few = cells.count() <= ONE_TASK_CELLS
@@ -102,8 +102,7 @@ def weighted_cells(cells: DataFrame, mix: Mix = Mix()) -> DataFrame:
                 now = _same(now, now.groupBy(d).agg(mass.alias("have")), [d])
             factor = F.when(F.col("have") > 0, F.col(f"wanted_{d}") / F.col("have")).otherwise(1.0)
             now = now.withColumn("weight", F.col("weight") * factor).drop("have")
-        if not few:
-            now = cut(now)
+            now = now if few else cut(now)
     now = cut(now)
     total = now.agg(F.sum("tokens")).first()[0] or 0
     aim, scale = mix.budget * total, 0.0

@@ -289,9 +289,9 @@ def test_raking_meets_targets(spark, docs, none):
 
 def test_many_cells_take_the_shuffled_way(spark, monkeypatch):
     cells = spark.createDataFrame([(f"s{k % 7}", f"l{k % 3}", None if k % 2 else "t", 10 + k * k % 91) for k in range(42)], "source string, lang string, topic string, tokens long")
-    few = {tuple(r[:3]): r["probability"] for r in mixing.weighted_cells(cells).collect()}
+    few = {tuple(r[:3]): r["probability"] for r in mixing.weighted_cells(cells, mixing.Mix(rounds=2)).collect()}
     monkeypatch.setattr(mixing, "ONE_TASK_CELLS", 3)
-    many = {tuple(r[:3]): r["probability"] for r in mixing.weighted_cells(cells, mixing.Mix()).select("source", "lang", "topic", "probability").collect()}
+    many = {tuple(r[:3]): r["probability"] for r in mixing.weighted_cells(cells, mixing.Mix(rounds=2)).select("source", "lang", "topic", "probability").collect()}
     assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 for k in few)
 
 
