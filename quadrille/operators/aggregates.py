@@ -194,7 +194,7 @@ def _unique() -> Column:
     return (F.col("fill") == F.col("rows")) & (F.col("distinct") == F.col("rows"))
 
 
-def default_columns(census: DataFrame, limit: int = 4) -> DataFrame:
+def default_columns(census: DataFrame, limit: int) -> DataFrame:
     """Columns shown at first: well filled, varied, not unique per row."""
     fit = ((F.col("p") != m.LABEL) & (F.col("fill") / F.col("rows") >= 0.05)
            & (F.col("distinct") > 1) & ~_unique())
@@ -322,7 +322,7 @@ def sample_terms(df: DataFrame, key: str, iri: str, n: int = 20) -> DataFrame:
     return df.withColumn("sample_rank", F.row_number().over(w)).filter(F.col("sample_rank") <= n)
 
 
-def entity_paths(parents: DataFrame, max_hops: int = 12) -> DataFrame:
+def entity_paths(parents: DataFrame, max_hops: int) -> DataFrame:
     """Primary recorded route of every entity, child first.
 
     ``parents(iri, parent, parent_label)``; the parent first in label order

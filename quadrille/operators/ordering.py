@@ -72,10 +72,7 @@ def individual_sort(rows: DataFrame, key: str, numeric: bool = False, direction:
     return rows.orderBy(shown.isNull().asc(), value.asc() if direction == 1 else value.desc(), F.lower(name), name)
 
 
-RESULT_CAP = 200_000
-
-
-def cap(df: DataFrame, n: int = RESULT_CAP) -> DataFrame:
+def cap(df: DataFrame, n: int) -> DataFrame:
     """At most ``n`` solutions plus the flag whether more existed."""
     extra = df.limit(n + 1)
     capped = extra.agg(F.count(F.lit(1)) > n).scalar()

@@ -129,7 +129,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.unionAll(back)
 
 
-def neighbours(edges: DataFrame, iri: str, limit: int = 4000) -> DataFrame:
+def neighbours(edges: DataFrame, iri: str, limit: int) -> DataFrame:
     """Neighbours of one node: the first ``limit`` with the full total."""
     mine = both_ways(edges.filter((F.col("src") == iri) | (F.col("dst") == iri))).filter(F.col("iri") == iri).distinct()
     total = mine.agg(F.count(F.lit(1))).scalar()

@@ -266,7 +266,7 @@ def table_filter(df: DataFrame, equals: dict[str, str] | None = None,
     return df
 
 
-def substring_search(entities: DataFrame, text: str, limit: int = 80) -> DataFrame:
+def substring_search(entities: DataFrame, text: str, limit: int) -> DataFrame:
     """First ``limit`` entities whose IRI or name contains the text."""
     hit = F.lower(F.concat_ws(" ", "iri", "name")).contains(text.strip().lower())
     return entities.filter(hit).orderBy("iri").limit(limit)

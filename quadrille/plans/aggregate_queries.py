@@ -187,7 +187,7 @@ def customer_column_census(src):
     SELECT p, fill, "distinct" FROM census WHERE p <> '{LABEL}' AND "distinct" > 1 AND fill * 20 >= rows
       AND NOT (fill = rows AND "distinct" = rows) ORDER BY fill DESC, p LIMIT 4""")
 def customer_default_columns(src):
-    return ag.default_columns(ag.individual_census(_individuals(src))).select("p", "fill", "distinct")
+    return ag.default_columns(ag.individual_census(_individuals(src)), 4).select("p", "fill", "distinct")
 
 
 @query("A18", "customer_column_reasons", data="customers geo", sql=f"""WITH {_VALUES_SQL}
@@ -278,7 +278,7 @@ def primary_parent_paths(src):
     named = ag.preferred_label(q).select(F.col("iri").alias("parent"), F.col("label").alias("parent_label"))
     edges = q.filter(F.col("p") == SUBCLASS).select(F.col("s").alias("iri"), F.col("o").alias("parent")).distinct()
     rows = edges.join(named, "parent", "left").fillna("", ["parent_label"])
-    return ag.entity_paths(rows).select("iri", F.array_join("path", " < ").alias("path"), "cycle")
+    return ag.entity_paths(rows, 12).select("iri", F.array_join("path", " < ").alias("path"), "cycle")
 
 
 # -- ordering ---------------------------------------------------------------

@@ -184,11 +184,11 @@ def names_and_identifiers(src):
 
 @query("X38 X39", "folded_search_text", sql="""
     SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g'))), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS digest,
-      levenshtein(regexp_replace(lower(left(text, 40)), '[^ -~]', '', 'g'), regexp_replace(lower(right(text, 40)), '[^ -~]', '', 'g')) AS distance FROM documents""".replace("\\\\", "\\"))
+      levenshtein(lower(source), lower(lang || lang)) AS distance FROM documents""".replace("\\\\", "\\"))
 def folded_search_text(src):
     return src.table("documents").select(
         "doc_id", F.md5(tx.normalize_search(F.col("text"))).alias("digest"),
-        tx.text_distance(*[F.regexp_replace(F.lower(part), "[^ -~]", "") for part in (F.left("text", F.lit(40)), F.right("text", F.lit(40)))]).alias("distance"))
+        tx.text_distance(F.col("source"), F.concat("lang", "lang")).alias("distance"))
 
 
 @query("X40", "placeholder_identifiers", sql=f"""

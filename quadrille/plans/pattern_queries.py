@@ -161,7 +161,7 @@ def order_table_filter(src):
       AND (lower(s) LIKE '%ring%' OR lower(o) LIKE '%ring%') ORDER BY s LIMIT 80""")
 def substring_search(src):
     names = ag.preferred_label(src.quads("catalog")).select("iri", F.col("label").alias("name"))
-    return pt.substring_search(names, "ring")
+    return pt.substring_search(names, "ring", 80)
 
 
 @query("F13", "validate_price_and_rating_cells", sql="""
