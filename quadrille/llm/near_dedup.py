@@ -162,7 +162,8 @@ def _rare_partners(members: DataFrame, left: DataFrame, sets: DataFrame, b: Band
     """Pairs (a, b) of ``left`` with ``members`` (id, n, class) of other classes that can be similar enough.
 
     Two sets of similarity s share one of their n - ceil(s * n) + 1 rarest
-    shingles; rare means in few members.  Copies with many changes of their own
+    shingles, and fewer where their sizes ask for a larger overlap; rare means
+    in few members.  Copies with many changes of their own
     have nothing but these among their rarest ones and meet nobody, however
     crowded their buckets are.
     """
@@ -171,10 +172,14 @@ def _rare_partners(members: DataFrame, left: DataFrame, sets: DataFrame, b: Band
     often = rows.groupBy("shingle").count()
     place = F.row_number().over(W.partitionBy("id", "own").orderBy("count", "shingle"))      # one text's shingles
     few = F.col("n") - F.ceil(F.col("n") * b.percent / 100) + 1
-    rare = written(rows.join(often, "shingle").withColumn("place", place).filter(F.col("place") <= few).select("id", "shingle"), "near-rare")
-    mine = rare.join(left.select("id"), "id", "left_semi").join(members, "id")
-    other = rare.join(members.select(F.col("id"), F.col("n").alias("other_n"), F.col("class").alias("other_class")), "id").withColumnRenamed("id", "other")
-    return (mine.join(other, "shingle").filter("class <> other_class").filter(_near_sizes(b))
+    rare = written(rows.join(often, "shingle").withColumn("place", place).filter(F.col("place") <= few).select("id", "shingle", "n", "place"), "near-rare")
+    mine = rare.join(left.select("id"), "id", "left_semi").join(members.select("id", "class").distinct(), "id")
+    other = rare.join(members.select("id", "class").distinct(), "id").select(
+        "shingle", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("place").alias("other_place"), F.col("class").alias("other_class"))
+    # what two sets of these sizes must share, and how far down their lists the first of it stands at most
+    overlap = F.ceil((F.col("n") + F.col("other_n")) * b.percent / (100 + b.percent))
+    early = (F.col("place") <= F.col("n") - overlap + 1) & (F.col("other_place") <= F.col("other_n") - overlap + 1)
+    return (mine.join(other, "shingle").filter("class <> other_class").filter(_near_sizes(b)).filter(early)
             .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
 
 
