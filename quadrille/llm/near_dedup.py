@@ -200,17 +200,18 @@ def _links(reps: DataFrame, docs: DataFrame, b: Banding) -> DataFrame:
     keyed = written(keyed, "near-tables")
     full = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.struct("central", -F.col("id"))).alias("top")).filter("lo < hi")
     full = full.select("key", (-F.col("top")["col2"]).alias("hub"), F.col("top.central").alias("hub_central"))
-    buckets = written(keyed.select("key", "id", "n").join(full, "key"), "near-buckets")
+    # a set and the most central member of each of its buckets; a pair has many tables, but stands here once
+    stars = written(keyed.select("key", "id", "n").join(full, "key").select("id", "n", "hub", "hub_central").distinct(), "near-stars")
     # the sets of documents with a partner, computed once
-    members = buckets.select(F.col("id").alias("doc_id")).distinct()
+    members = stars.select(F.col("id").alias("doc_id")).distinct()
     sets = written(docs.join(members, "doc_id").mapInPandas(_sets(b), "id long, members binary"), "near-sets")
 
-    hub_sizes = buckets.select(F.col("id").alias("hub"), F.col("n").alias("other_n")).distinct()
+    hub_sizes = stars.select(F.col("id").alias("hub"), F.col("n").alias("other_n")).distinct()
     tried = links = classes = None
     for turn in range(b.star_rounds + 1):
-        now = buckets
+        now = stars
         if classes is not None:
-            now = (now.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+            now = (stars.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
                    .join(classes.select(F.col("id").alias("hub"), F.col("component").alias("hub_class")), "hub", "left")
                    .withColumn("hub_class", F.coalesce("hub_class", "hub")))
             apart = now.filter("class <> hub_class")
@@ -222,8 +223,8 @@ def _links(reps: DataFrame, docs: DataFrame, b: Banding) -> DataFrame:
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = pairs.groupBy("id").agg(F.max(F.struct("hub_central", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        else:       # whatever is still in two classes of one bucket
-            mixed = written(now.join(apart.select("key").distinct(), "key", "left_semi").select("id", "n", "class").distinct(), "near-mixed")
+        else:       # whatever shares a bucket, hence its hub, with a member of another class
+            mixed = written(now.join(apart.select("hub").distinct(), "hub", "left_semi").select("id", "n", "class").distinct(), "near-mixed")
             pairs = _rare_partners(mixed, apart.select("id").distinct(), sets, b).join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         if pairs.isEmpty():
