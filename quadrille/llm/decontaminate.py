@@ -14,6 +14,7 @@ that goes to the tasks, and every text meets every block.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,6 +75,17 @@ def _grams(text: str, q: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def _distinct_places(window: np.ndarray, band: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, band, number of its distinct places) of every pair that has hits."""
+    low = band.min()
+    bands, places = int(band.max() - low) + 1, int(place.max()) + 1
+    if (int(window.max()) + 1) * bands * places >= 1 << 63:
+        raise OverflowError("windows, bands and places of a text do not fit in one key")
+    key = np.unique((window * bands + (band - low)) * places + place)
+    pair, count = np.unique(key // places, return_counts=True)
+    return pair // bands, pair % bands + low, count
+
+
 class Block:
     """Item windows and their q-grams, sorted for look-up."""
 
@@ -99,6 +111,7 @@ class Block:
         self.filter[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.bounds = np.array([max(1, search.bound(len(t))) for _, _, t in self.windows], np.int64)
         self.least = int(self.bounds.min()) if len(self.bounds) else 0
+        self.totals = Counter(item for item, _, _ in self.windows)
         self.width = 1 << max(1, search.budget(search.window)).bit_length()     # over the budget, so half a band holds it
 
     def candidates(self, text: str) -> list[tuple[int, int]]:
@@ -131,9 +144,7 @@ class Block:
         for shift in (0, self.width):       # bands of twice the width that overlap by half
             band = (diagonal + shift) // (2 * self.width)
             # a q-gram of the window counts once in a band, however often the text repeats it
-            key = (window * (1 << 40) + band) * 4096 + self.place[entry]
-            pair, count = np.unique(np.unique(key) // 4096, return_counts=True)
-            w, b = pair >> 40, pair & ((1 << 40) - 1)
+            w, b, count = _distinct_places(window, band, self.place[entry])
             good = count >= self.bounds[w]
             out += list(zip(w[good].tolist(), (b[good] * 2 * self.width - shift - self.search.window).tolist(), strict=True))
         return sorted(set(out))
@@ -173,10 +184,7 @@ class Block:
         per: dict[int, list[int]] = {}
         for w, e in found.items():
             per.setdefault(self.windows[w][0], []).append(e)
-        totals: dict[int, int] = {}
-        for item, _, _ in self.windows:
-            totals[item] = totals.get(item, 0) + 1 if item in per else totals.get(item, 0)
-        return [(item, len(v), totals[item], min(v)) for item, v in sorted(per.items())]
+        return [(item, len(v), self.totals[item], min(v)) for item, v in sorted(per.items())]
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:

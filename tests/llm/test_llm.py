@@ -218,6 +218,15 @@ def test_leaks_with_edits(spark, docs, none):
     assert decontaminate.keep_clean(docs, item_df).columns == docs.columns
 
 
+def test_items_at_the_end_of_a_large_block():
+    items = [(k, words(10_000 + k, 45)) for k in range(1800)]
+    block = decontaminate.Block(items, decontaminate.Search())
+    assert len(block.windows) > 5000
+    for k in (0, 700, 1100, 1500, 1799):
+        n = sum(1 for item, _, _ in block.windows if item == k)
+        assert block.matches(words(1, 50) + " " + items[k][1] + " " + words(2, 50)) == [(k, n, n, 0)]
+
+
 def test_banded_alignment_is_edit_distance():
     def distance(a, b):         # of a against any part of b
         row = [0] * (len(b) + 1)
