@@ -3,9 +3,11 @@
 The standard library's parser streams a page as events; every block-level
 boundary ends a line.  A line's ratio is its characters over the tags that it
 took.  Ratios are smoothed with a Gaussian along the page and split into two
-clusters by an iterated threshold; the content region is the container with
-the most text in lines of the upper cluster, and all of its lines are kept.
-Containers that are boilerplate by element or by name never contribute.
+clusters by an iterated threshold; every container with a line of the upper
+cluster is content, and all of its lines are kept.  Containers between content
+containers, or in one article or main with them, belong to the content too.
+Containers that are boilerplate by element or by name never contribute, and
+those of mostly link text only if the page has nothing else.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ class Line:
     tags: int
     container: int      # number of the nearest container element
     region: int         # number of the outermost article or main around it, or -1
+    linked: int         # characters of it in links
 
 
 class Events(HTMLParser):
@@ -56,7 +59,8 @@ class Events(HTMLParser):
         self.open: list[tuple[str, bool, int, int]] = []      # element, left out, container, region
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.elements = 0
+        self.tags = self.elements = self.linked = 0
+        self.parents: dict[int, int] = {}       # of a container: the one around it
 
     def _top(self) -> tuple[str, bool, int, int]:
         return self.open[-1] if self.open else ("", False, 0, -1)
@@ -66,8 +70,8 @@ class Events(HTMLParser):
         self.parts = []
         if text:
             _, _, container, region = self._top()
-            self.lines.append(Line(text, self.tags, container, region))
-            self.tags = 0
+            self.lines.append(Line(text, self.tags, container, region, self.linked))
+            self.tags = self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -88,6 +92,7 @@ class Events(HTMLParser):
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         out = out or tag in LEFT_OUT or hidden or (tag in HEADERS and region < 0) or (tag not in ("html", "body") and bool(names & LEFT_OUT_NAMES))
         if tag in CONTAINERS:
+            self.parents[self.elements] = container
             container = self.elements
         if tag in REGIONS and region < 0 and not out:
             region = self.elements
@@ -110,6 +115,8 @@ class Events(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._top()[1]:
             self.parts.append(data)
+            if any(x[0] == "a" for x in self.open):
+                self.linked += len("".join(data.split()))
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -132,8 +139,43 @@ def threshold(values: np.ndarray) -> float:
     return t
 
 
+def upper_cluster(ratios: np.ndarray) -> np.ndarray:
+    """Which ratios are in the upper cluster.  One that is nearer to the mean of
+    that cluster than to zero is in it too, so even text is not cut in two."""
+    cut = threshold(ratios)
+    high = ratios[ratios >= cut]
+    return ratios >= min(cut, high.mean() / 2) if len(high) else np.ones(len(ratios), bool)
+
+
+def content(lines: list[Line], parents: dict[int, int], upper: np.ndarray) -> set[int]:
+    """The containers that hold the content."""
+    spans: dict[int, list[int]] = {}            # of a container: its first and last line, characters, those in links
+    for k, x in enumerate(lines):
+        span = spans.setdefault(x.container, [k, k, 0, 0])
+        span[1], span[2], span[3] = k, span[2] + len("".join(x.text.split())), span[3] + x.linked
+    plain = {c for c, (_, _, size, linked) in spans.items() if 2 * linked <= size}
+    dense = {x.container for x, up in zip(lines, upper, strict=True) if up}
+    chosen = dense & plain or plain or dense
+    regions = {x.region for x in lines if x.container in chosen and x.region >= 0}
+    inside: dict[int, tuple[int, int]] = {}     # of a container: first and last line of the content in it and its children
+    for c in chosen:
+        for p in {c, parents.get(c, 0)}:
+            first, last = inside.get(p, (len(lines), -1))
+            inside[p] = min(first, spans[c][0]), max(last, spans[c][1])
+
+    def between(c: int) -> bool:
+        at = c
+        while at:
+            at = parents.get(at, 0)
+            if at in inside and inside[at][0] < spans[c][0] and spans[c][1] < inside[at][1]:
+                return True
+        return False
+
+    return chosen | {x.container for x in lines if x.container in plain - chosen and (x.region in regions or between(x.container))}
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
-    """The lines of the content region, joined by line feeds; "" if there are none."""
+    """The lines of the content, joined by line feeds; "" if there are none."""
     if not html:
         return ""
     events = Events()
@@ -146,16 +188,8 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         return ""
     sizes = np.array([len(x.text) for x in lines], float)
     ratios = smoothed(sizes / np.maximum(1, [x.tags for x in lines]), sigma)
-    upper = ratios >= threshold(ratios)
-    marked = [x.region >= 0 for x in lines]
-    place = [x.region if any(marked) else x.container for x in lines]
-    mass: dict[int, float] = {}
-    for at, size, up in zip(place, sizes, upper, strict=True):
-        mass[at] = mass.get(at, 0.0) + (size if up else 0.0) + size * 1e-6     # short pages too have a largest one
-    if any(marked):
-        mass.pop(-1, None)
-    best = max(mass, key=lambda k: (mass[k], -k))
-    return "\n".join(x.text for x, at in zip(lines, place, strict=True) if at == best)
+    kept = content(lines, events.parents, upper_cluster(ratios))
+    return "\n".join(x.text for x in lines if x.container in kept)
 
 
 def extracted(pages: DataFrame, sigma: float = 1.0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

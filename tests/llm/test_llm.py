@@ -394,6 +394,24 @@ def test_main_text(spark):
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_of_several_regions():
+    def p(seed, n=40):
+        return f"<p>{words(seed, n)}</p>"
+    lists = "<div>" + "<a href=x>page</a> " * 12 + "</div>"
+    two = f"<body>{lists}<article>{p(1, 90)}{p(2, 80)}</article>{lists}<article>{p(3, 50)}{p(4, 30)}</article></body>"
+    assert html_text.main_text(two).split("\n") == [words(1, 90), words(2, 80), words(3, 50), words(4, 30)]
+    texts = [words(20 + k, 60 - 5 * k) for k in range(4)]
+    siblings = f"<body>{lists}<div>" + "".join(f"<div><p>{t}</p></div>" for t in texts) + f"</div>{lists}</body>"
+    assert html_text.main_text(siblings).split("\n") == texts
+    between = f"<body>{lists}<div>{p(5)}{p(6)}</div><div>Yes.</div><div>{p(7)}{p(8)}</div></body>"
+    assert html_text.main_text(between).split("\n") == [words(5, 40), words(6, 40), "Yes.", words(7, 40), words(8, 40)]
+    inner = f"<main><h1>Head</h1><section>{p(9)}</section>{lists}<section>{p(10)}</section></main>"
+    assert html_text.main_text(inner).split("\n") == ["Head", words(9, 40), words(10, 40)]
+    outside = f"<body><article><p>Short.</p></article>{lists * 8}<div>{p(11)}{p(12)}{p(13)}</div></body>"
+    assert html_text.main_text(outside).split("\n") == [words(11, 40), words(12, 40), words(13, 40)]
+    assert html_text.main_text("<div><a>only</a></div><div><a>links</a></div>") == "only\nlinks"
+
+
 def test_threshold_and_smoothing():
     v = np.array([1.0, 1.0, 10.0, 10.0])
     assert html_text.threshold(v) == 5.5 and np.allclose(html_text.smoothed(np.ones(9), 1.0), 1)
