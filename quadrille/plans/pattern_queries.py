@@ -143,6 +143,17 @@ def same_term_pairs(src):
     return lex(rows, "c", "sup")
 
 
+@query("F10", "same_term_pair_counts", data="customers suppliers", sql=f"""
+    SELECT c.o AS nation, c.n * s.n AS pairs FROM (SELECT o, count(*) AS n FROM {_q(NATION)} WHERE s LIKE '%customer%' GROUP BY o) c
+    JOIN (SELECT o, count(*) AS n FROM {_q(NATION)} WHERE s LIKE '%supplier%' GROUP BY o) s ON c.o = s.o""")
+def same_term_pair_counts(src):
+    """The pairs of all customers and suppliers, counted per term and not listed."""
+    c = pt.match(src.quads("customers"), "?c", NATION, "?n").groupBy("n").agg(F.count(F.lit(1)).alias("n_c"))
+    s = pt.match(src.quads("suppliers"), "?sup", NATION, "?n2").groupBy("n2").agg(F.count(F.lit(1)).alias("n_sup"))
+    rows = pt.theta_join(c, s, equal=[(F.col("n.value"), F.col("n2.value"))], condition=t.same_term(F.col("n"), F.col("n2")))
+    return rows.select(F.col("n.value").alias("nation"), (F.col("n_c") * F.col("n_sup")).alias("pairs"))
+
+
 @query("F11", "order_table_filter", sql="""
     SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey
     WHERE o_orderstatus = 'O' AND lower(concat_ws(' ', o_orderpriority, c_name, c_mktsegment)) LIKE '%urgent%building%'
@@ -203,6 +214,23 @@ def compatible_join_with_unbound(src):
     return lex(pt.join_compatible(sup, cus, ["bal"]), "sup", "c", "bal")
 
 
+@query("J1", "compatible_join_counts", data="customers suppliers", sql=f"""
+    WITH sup AS (SELECT a.o AS n, b.o AS bal, count(*) AS k FROM {_q(NATION)} a LEFT JOIN {_q(BALANCE)} b ON a.s = b.s WHERE a.s LIKE '%supplier%' GROUP BY ALL),
+    cus AS (SELECT a.o AS n, CASE WHEN cast(b.o AS decimal(18,2)) < 0 THEN b.o END AS bal, count(*) AS k
+      FROM {_q(NATION)} a JOIN {_q(BALANCE)} b ON a.s = b.s WHERE a.s LIKE '%customer%' GROUP BY ALL)
+    SELECT sup.n AS nation, coalesce(sup.bal, cus.bal) AS bal, cast(sum(sup.k * cus.k) AS bigint) AS pairs FROM sup JOIN cus ON sup.n = cus.n
+      AND (sup.bal = cus.bal OR sup.bal IS NULL OR cus.bal IS NULL) GROUP BY ALL""")
+def compatible_join_counts(src):
+    """The pairs of all suppliers and customers, counted per solution and not listed."""
+    s, c = src.quads("suppliers"), src.quads("customers")
+    sup = pt.optional(pt.match(s, "?sup", NATION, "?n"), pt.match(s, "?sup", BALANCE, "?bal"))
+    cus = pt.bgp(c, [("?c", NATION, "?n"), ("?c", BALANCE, "?bal")])
+    cus = cus.withColumn("bal", F.when(t.term_cmp(F.col("bal"), "<", t.literal("0", t.INTEGER)), F.col("bal")))
+    sup, cus = (df.groupBy("n", "bal").agg(F.count(F.lit(1)).alias(k)) for df, k in ((sup, "n_sup"), (cus, "n_c")))
+    rows = pt.join_compatible(sup, cus, ["bal"])
+    return rows.groupBy(F.col("n.value").alias("nation"), F.col("bal.value").alias("bal")).agg(F.sum(F.col("n_sup") * F.col("n_c")).alias("pairs"))
+
+
 @query("J2", "optional_with_inner_filter", data="customers orders", sql=f"""
     SELECT a.s AS c, b.s AS ordered FROM {_q(SEGMENT)} a
     LEFT JOIN (SELECT x.s, x.o AS c, y.o AS total FROM {_q(BUYER)} x JOIN {_q(TOTAL)} y ON x.s = y.s) b

@@ -355,6 +355,13 @@ def synonym_contexts(src):
     return count_by(out.filter("role <> 'annotated'"), "iri", "role")
 
 
+@query("G7", "synonym_context_counts")
+def synonym_context_counts(src):
+    """Of every class and part; tests/test_operators.py compares with a plain version."""
+    edges = cut(pa.edges_of(src.quads("catalog"), SUBCLASS))
+    return sg.context_counts(edges, edges.select(F.col("src").alias("iri")))
+
+
 @query("G8", "validated_synonyms", data="catalog", sql=f"""
     WITH v AS (SELECT '{EX}part/' || p_partkey AS iri, p_partkey * 4 + i AS id, CASE i WHEN 0 THEN p_brand || ' ' || p_name WHEN 1 THEN ' fresh ' WHEN 2 THEN 'FRESH' ELSE upper(p_name) END AS value FROM part, (VALUES (0), (1), (2), (3)) t(i))
     SELECT iri, id, value, CASE WHEN EXISTS (SELECT 1 FROM {LABEL_PICK} l WHERE l.s = v.iri AND lower(trim(l.o)) = lower(trim(value))) THEN 'self' WHEN value = 'FRESH' THEN 'repeated'

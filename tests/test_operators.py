@@ -346,3 +346,41 @@ def test_comments_with_several_edits(spark):
     df = spark.createDataFrame(rows, "base string, l string, r string")
     got = [x[0] for x in df.select(mg.merge_text("base", "l", "r")).collect()]
     assert got == ["ONE two three FOUR", "a B C D e", None, "a c", None]
+
+
+@pytest.mark.parametrize("wide", [10, 2, 0])
+def test_context_counts_equal_listed_relatives(spark, wide):
+    r = random.Random(5)
+    edges = {(f"n{i}", f"n{j}") for i in range(1, 60) for j in r.sample(range(i), min(i, r.randint(1, 4)))} | {("n0", "n7"), ("n3", "n3")}
+
+    def reached(step):
+        out = {}
+        for a in {x for e in edges for x in e}:
+            todo, seen = [a], set()
+            while todo:
+                new = step[todo.pop()] - seen
+                seen |= new
+                todo += new
+            out[a] = seen - {a}
+        return out
+    up, down = ({x: {e[1 - k] for e in edges if e[k] == x} for e in edges for x in e} for k in (0, 1))
+    above, below = reached(up), reached(down)
+    want = {}
+    for a in up:
+        siblings = {b for p in up[a] for b in down[p]} - {a} - above[a] - below[a]
+        for role, found in (("ancestor", above[a]), ("child", down[a] - {a}), ("descendant", below[a]), ("sibling", siblings)):
+            if found:
+                want[a, role] = len(found)
+    df = spark.createDataFrame(sorted(edges), "src string, dst string")
+    got = sg.context_counts(df, spark.createDataFrame([(x,) for x in up], "iri string"), wide)
+    assert {(x["iri"], x["role"]): x["n"] for x in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["same_term_pair_counts", "compatible_join_counts"])
+def test_pair_counts_of_whole_tables(spark, name):
+    from oracle import compare, connect
+    from quadrille.plans.catalogue import QUERIES
+    sf = "/root/testdata/sf0.001"
+    assert compare(spark, connect(sf), QUERIES[name], sf) is None
+    n = {t: [r["k"] for r in spark.read.parquet(f"{sf}/{t}.parquet").select(F.col(f"{t[0]}_nationkey").alias("k")).collect()] for t in ("customer", "supplier")}
+    assert name != "same_term_pair_counts" or sum(r["pairs"] for r in QUERIES[name].run(spark, sf).collect()) == sum(n["customer"].count(k) for k in n["supplier"])
