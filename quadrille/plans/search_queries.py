@@ -62,7 +62,7 @@ def _search(src):
 def _texts(src):
     part = src.table("part")
     t = F.lower("p_type")
-    wrong = F.concat(F.lit("the "), F.substring(t, 1, 2), F.substring(t, 4, 50))
+    wrong = F.concat(F.lit("the "), F.substring(t, 1, 2), F.expr("substring(lower(p_type), 4)"))
     both = part.select(F.col("p_name").alias("qid"), F.col("p_name").alias("text")).unionAll(part.select("p_type", wrong)).distinct()
     return cut(se.query_tokens(both, ascii_only=True))
 
@@ -313,6 +313,14 @@ def parents_for_new_names(src):
     return sg.parents_for_names(names, aliases, classes)
 
 
+@query("G4", "parents_for_all_names")
+def parents_for_all_names(src):
+    """Names of any length against all names, aliases and inflections; tests/test_operators.py compares with a plain version."""
+    classes, _ = _classes(src)
+    aliases = cut(sg.class_aliases(src.loaded("catalog"), classes))
+    return sg.parents_for_names(classes.select(F.col("label").alias("id"), "label").distinct(), aliases, classes)
+
+
 @query("G5", "name_collisions", sql=f"""
     SELECT s_suppkey AS id, '{EX}part/' || p_partkey AS iri, CASE WHEN s_suppkey % 2 = 0 THEN 'exact' ELSE 'normalized' END AS kind
     FROM supplier JOIN part ON p_partkey = s_suppkey * 3 OR p_name = (SELECT p2.p_name FROM part p2 WHERE p2.p_partkey = s_suppkey * 3)""")
@@ -505,8 +513,9 @@ def accepted_links(src):
 
 
 # -- text matching ----------------------------------------------------------
-# concepts: the second word of every benchmark text names one; its third and
-# fourth words are a phrase synonym and its fifth and sixth a span rule
+# concepts: every word of every benchmark text, see _all_concept_quads; the
+# older queries with SQL take the second word only, with its third and fourth
+# as a phrase synonym and its fifth and sixth as a span rule
 
 _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 
@@ -522,6 +531,20 @@ def _concept_quads(src):
                .unionByName(m.resource_quads(b, iri, F.lit(SUBCLASS), F.concat(F.lit(EX + "concepts/len"), F.length(F.get("w", F.lit(1))).cast("string")))))
 
 
+def _all_concept_quads(src):
+    """Every word of every benchmark text names a concept; the two words after
+    it are a phrase synonym and the two after those a span rule."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    b = src.table("benchmark").select(words.alias("w")).select("w", F.posexplode("w").alias("i", "c"))
+    b = b.select("c", *[F.get("w", F.col("i") + k).alias(f"w{k}") for k in range(1, 5)])
+    iri = F.concat(F.lit(EX + "concepts#"), F.col("c"))
+    return cut(m.resource_quads(b, iri, F.lit(TYPE), F.lit(m.CLASS))
+               .unionByName(m.literal_quads(b, iri, F.lit(LABEL), F.col("c")))
+               .unionByName(m.literal_quads(b.filter("w2 IS NOT NULL"), iri, F.lit(m.ALT), F.concat_ws(" ", "w1", "w2")))
+               .unionByName(m.literal_quads(b.filter("w4 IS NOT NULL"), iri, F.lit(SEE_ALSO), F.concat_ws("+", "w3", "w4"), g=F.lit(EX + "graph")))
+               .unionByName(m.resource_quads(b, iri, F.lit(SUBCLASS), F.concat(F.lit(EX + "concepts/len"), F.length("c").cast("string")))))
+
+
 _BW = f"(SELECT {_WORDS} AS w FROM benchmark WHERE len({_WORDS}) >= 6)"
 
 
@@ -551,20 +574,20 @@ def single_word_matches(src):
 
 @query("T3", "phrase_matches_longest_first")
 def phrase_matches_longest_first(src):
-    words = tm.dictionary(_concept_quads(src))
+    words = tm.dictionary(_all_concept_quads(src))
     return tm.match_exact(tm.tokenize(src.table("documents")), tm.phrases(words))
 
 
 @query("T4 T5 T6", "nested_matches_with_slices")
 def nested_matches_with_slices(src):
     docs = src.table("documents")
-    found = tm.match_nested(tm.tokenize(docs), tm.dictionary(_concept_quads(src)))
+    found = tm.match_nested(tm.tokenize(docs), tm.dictionary(_all_concept_quads(src)))
     return tm.span_offsets(found, docs).filter("sound").select("doc_id", "start", "end", "canonical", "method", "slice")
 
 
 @query("T7", "span_evidence_words")
 def span_evidence_words(src):
-    aliases = tm.dictionary(_concept_quads(src))
+    aliases = tm.dictionary(_all_concept_quads(src))
     found = tm.match_nested(tm.tokenize(src.table("documents")), aliases)
     return tm.span_words(found, tm.span_rules(aliases)).select("doc_id", "start", "end", "canonical", F.array_join("words", " ").alias("words"))
 
@@ -579,3 +602,42 @@ def document_graphs(src):
     words = tm.dictionary(q.filter(F.col("p") == LABEL))
     found = tm.match_exact(tm.tokenize(src.table("documents")), tm.phrases(words))
     return tm.text_graph(found, tm.concepts(q, base_kinds(q)), pa.edges_of(q, SUBCLASS))
+
+
+_AW = f"(SELECT w, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM (SELECT {_WORDS} AS w FROM benchmark))"
+
+
+@query("T1", "concept_dictionary_of_all_words", sql=f"SELECT DISTINCT c AS canonical, '{EX}concepts#' || c AS iri, 'Class' AS kind FROM {_AW}")
+def concept_dictionary_of_all_words(src):
+    from quadrille.operators.entities import base_kinds
+    q = _all_concept_quads(src)
+    return tm.concepts(q, base_kinds(q))
+
+
+@query("T2", "graphless_union_of_all_words", sql=f"""
+    SELECT count(*) AS n FROM (SELECT c, 'l', c FROM {_AW} UNION SELECT c, 't', 'c' FROM {_AW} UNION SELECT c, 'a', w[i + 1] || ' ' || w[i + 2] FROM {_AW} WHERE i + 2 <= len(w)
+      UNION SELECT c, 's', w[i + 3] || '+' || w[i + 4] FROM {_AW} WHERE i + 4 <= len(w) UNION SELECT c, 'u', '' FROM {_AW})""")
+def graphless_union_of_all_words(src):
+    q = _all_concept_quads(src)
+    return tm.union_graph(q.unionByName(q.withColumn("g", F.lit(EX + "other")))).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("T3", "single_word_matches_of_all_words", sql=f"""
+    WITH d AS (SELECT DISTINCT c AS canonical FROM {_AW}), t AS (SELECT doc_id, unnest({_WORDS}) AS tok FROM documents)
+    SELECT doc_id, canonical, count(*) AS n FROM t JOIN d ON d.canonical = t.tok GROUP BY ALL""")
+def single_word_matches_of_all_words(src):
+    words = tm.dictionary(_all_concept_quads(src).filter(F.col("p") == LABEL))
+    out = tm.match_exact(tm.tokenize(src.table("documents")), tm.phrases(words))
+    return out.groupBy("doc_id", "canonical").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("T8", "document_graphs_of_all_words", sql=f"""
+    WITH d AS (SELECT DISTINCT c AS canonical FROM {_AW}), t AS (SELECT DISTINCT doc_id, unnest({_WORDS}) AS tok FROM documents),
+    o AS (SELECT doc_id, tok FROM t JOIN d ON d.canonical = t.tok)
+    SELECT doc_id, '{EX}concepts#' || tok AS iri, true AS matched FROM o UNION SELECT doc_id, '{EX}concepts/len' || length(tok), false FROM o""")
+def document_graphs_of_all_words(src):
+    from quadrille.operators.entities import base_kinds
+    q = _all_concept_quads(src)
+    words = tm.dictionary(q.filter(F.col("p") == LABEL))
+    found = tm.match_exact(tm.tokenize(src.table("documents")), tm.phrases(words))
+    return tm.text_graph(found, tm.concepts(q, base_kinds(q)), pa.edges_of(q, SUBCLASS))

@@ -384,3 +384,37 @@ def test_pair_counts_of_whole_tables(spark, name):
     assert compare(spark, connect(sf), QUERIES[name], sf) is None
     n = {t: [r["k"] for r in spark.read.parquet(f"{sf}/{t}.parquet").select(F.col(f"{t[0]}_nationkey").alias("k")).collect()] for t in ("customer", "supplier")}
     assert name != "same_term_pair_counts" or sum(r["pairs"] for r in QUERIES[name].run(spark, sf).collect()) == sum(n["customer"].count(k) for k in n["supplier"])
+
+
+@pytest.mark.parametrize("name", [f"{x}_of_all_words" for x in ("concept_dictionary", "graphless_union", "single_word_matches", "document_graphs")])
+def test_queries_on_all_words(spark, name):
+    from oracle import compare, connect
+    from quadrille.plans.catalogue import QUERIES
+    sf = "/root/testdata/sf0.001"
+    assert compare(spark, connect(sf), QUERIES[name], sf) is None
+
+
+def test_parents_of_names_of_any_length(spark):
+    """All names of the tables against names and aliases of the catalogue."""
+    from quadrille.plans.catalogue import QUERIES
+    from quadrille.plans.registry import Source
+    from quadrille.plans.search_queries import _classes
+    sf = "/root/testdata/sf0.001"
+    src = Source(spark, sf)
+    classes = _classes(src)[0]
+    label = {r["iri"]: r["label"] for r in classes.collect()}
+    keys = {}
+    names = [(r["s"], r["o"]) for r in src.quads("catalog").filter(F.col("p").isin(m.LABEL, m.SEE_ALSO, m.ALT) | F.col("p").endswith("#inflection")).filter(m.is_literal()).collect()]
+    for iri, text in [*label.items(), *((s, o) for s, o in names if s in label and "+" not in o)]:
+        keys.setdefault(" ".join(text.lower().split()), set()).add(iri)
+    want = set()
+    for name in set(label.values()):
+        w = name.lower().split()
+        whole, best = keys.get(" ".join(w), set()), {}
+        for a, b in itertools.combinations(range(len(w) + 1), 2):
+            for iri in keys.get(" ".join(w[a:b]), set()) - whole if b - a < len(w) else ():
+                best[iri] = max(best.get(iri, (0, False, "")), (b - a, b == len(w), " ".join(w[a:b])))
+        want |= {(name, iri, k) for iri, (_, _, k) in best.items()}
+    got = QUERIES["parents_for_all_names"].run(spark, sf).collect()
+    assert {(r["id"], r["iri"], r["matched"]) for r in got} == want and len(got) == len(want)
+    assert any(r["matched"] not in label.values() for r in got)     # found by an alias
