@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from quadrille.llm import decontaminate, host_reputation, html_text, mixing, near_dedup, personal_data, repetition, suffix_dedup, token_output, warc_fixity
+from quadrille.llm import (decontaminate, divergence, hard_negatives, host_reputation, html_text, language_gru, mixing, near_dedup, personal_data,
+                           repetition, suffix_dedup, token_output, warc_fixity)
 from quadrille.llm.common import fresh_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,4 +243,66 @@ def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_suffix_arrays"] = op4_suffix_arrays
 
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the vectors whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10)
+                                                     .otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mined(rows, F.col("vec_id") % 50 == 0)
+
+
+QUERIES["op11_hard_negatives"] = op11_hard_negatives
+SQL["op11_hard_negatives"] = f"""
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({hard_negatives.Mining.scale} * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM e a JOIN e c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {hard_negatives.Mining.positives})
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INT AS rank, id AS negative_id,
+  positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= {hard_negatives.Mining.negatives}"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_source_divergence"] = op12_source_divergence
+_SHARE = "1 + (1000000000 * (coalesce({n}, 0) + 2)::HUGEINT) // ({used} + 2 * {v})"
+_GAP = "((p - q) * (p - q)) // (p + q)"
+SQL["op12_source_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT i, lang, source, unnest(ts) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT i) >= {divergence.Audit.least_docs}),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, (SELECT count(*) FROM k WHERE k.lang = g0.lang) AS v FROM (SELECT DISTINCT lang FROM g) g0),
+u AS (SELECT lang, source, coalesce(sum(n), 0) AS used FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+s AS MATERIALIZED (SELECT u.lang, u.source, k.term, {_SHARE.format(n="c.n", used="u.used", v="l.v")} AS p, coalesce(c.n, 0) AS n
+  FROM u JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = u.lang AND c.source = u.source AND c.term = k.term),
+a AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+w AS (SELECT a.lang, a.term, {_SHARE.format(n="a.n", used="x.used", v="l.v")} AS q FROM a JOIN l USING (lang) JOIN (SELECT lang, sum(n) AS used FROM c GROUP BY lang) x USING (lang)),
+pv AS (SELECT s.lang, s.source, o.source AS item, sum({_GAP.replace("p", "s.p").replace("q", "o.p")}) AS value
+  FROM s JOIN s o ON s.lang = o.lang AND s.term = o.term AND s.source <> o.source GROUP BY ALL),
+pr AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pv ON pv.lang = x.lang AND pv.source = x.source AND pv.item = y.source),
+te AS (SELECT lang, source, 'term' AS part, term AS item, ({_GAP})::BIGINT AS value FROM s JOIN w USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pr
+UNION ALL SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM te QUALIFY rank <= {divergence.Audit.top}"""
+
+
+def op13_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language_gru.learned(docs.filter(F.col("doc_id").isNotNull() & ~language_gru.held_out(F.col("doc_id"))))
+    return language_gru.predicted(docs, net)
+
+
+QUERIES["op13_byte_gru"] = op13_byte_gru
+
 QUERIES["pipeline"] = corpus_pipeline.run
