@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadrille import model as m
+from quadrille.operators import reachability
 from quadrille.session import cut
 
 
@@ -77,7 +78,13 @@ def reach(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | Non
 
 
 def plus(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """``a+``: set semantics; a node reaches itself only through a cycle."""
+    """``a+``: set semantics; a node reaches itself only through a cycle.
+
+    All pairs come from reachability labels, in rounds that do not grow with
+    the depth; from ``seeds`` they are walked.
+    """
+    if seeds is None:
+        return reachability.pairs(reachability.index(edges))
     return reach(edges, seeds).select(F.col("start").alias("src"), F.col("node").alias("dst"))
 
 
@@ -129,9 +136,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.unionAll(back)
 
 
-def neighbours(edges: DataFrame, iri: str, limit: int) -> DataFrame:
-    """Neighbours of one node: the first ``limit`` with the full total."""
-    mine = both_ways(edges.filter((F.col("src") == iri) | (F.col("dst") == iri))).filter(F.col("iri") == iri).distinct()
+def neighbours(edges: DataFrame, iri: str, limit: int, incoming: DataFrame | None = None) -> DataFrame:
+    """Neighbours of one node: the first ``limit`` with the full total.
+
+    ``incoming`` are the same edges laid out for look-ups by ``dst``, where
+    the store has them.
+    """
+    back = edges if incoming is None else incoming
+    mine = both_ways(edges.filter(F.col("src") == iri)).filter("outgoing").unionAll(
+        both_ways(back.filter(F.col("dst") == iri)).filter("NOT outgoing")).distinct()
     total = mine.agg(F.count(F.lit(1))).scalar()
     return mine.withColumn("total", total).orderBy("pred", "outgoing", "neighbour").limit(limit)
 

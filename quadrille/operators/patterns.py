@@ -8,6 +8,7 @@ broadcasts a side only when its measured size allows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
@@ -69,13 +70,66 @@ def shared(left: DataFrame, right: DataFrame) -> list[str]:
     return [c for c in left.columns if c in right.columns]
 
 
+@dataclass(frozen=True)
+class Bound:
+    """A numeric FILTER on an object variable, given with its pattern: ``price < 5``.
+
+    Stored quads have a number column; there a bound on it, pushed into the
+    scan, comes before the exact comparison.
+    """
+    variable: str
+    op: str
+    value: str
+    datatype: str = t.INTEGER
+
+    def filtered(self, quads: DataFrame) -> DataFrame:
+        literal = t.literal(self.value, self.datatype)
+        if "num" in quads.columns:
+            number = F.lit(float(self.value))
+            quads = quads.filter(F.col("num") >= number if self.op in (">", ">=") else F.col("num") <= number)
+        return quads.filter(t.term_cmp(t.object_term(), self.op, literal))
+
+
+def _star(quads: DataFrame, patterns: list[tuple]) -> DataFrame:
+    """Patterns on one subject variable: joined on the subject column itself,
+    which stored quads are bucketed by, and made a term afterwards."""
+    subject, out = patterns[0][0][1:], None
+    for k, (_, p, o) in enumerate(patterns):
+        rows = quads.filter(F.col("p") == p)
+        name = o.variable if isinstance(o, Bound) else o
+        if isinstance(o, Bound):
+            rows = o.filtered(rows)
+        elif isinstance(o, Column):
+            rows = rows.filter(t.same_term(t.object_term(), o))
+        elif not _is_var(o):
+            rows = rows.filter((F.col("o") == o) & m.is_resource())
+        rows = rows.select("s", t.object_term().alias(name[1:])) if isinstance(name, str) and _is_var(name) else rows.select("s")
+        out = rows if out is None else out.join(rows, "s")
+    return out.select(t.resource(F.col("s")).alias(subject), *out.columns[1:])
+
+
+def _star_like(group: list[tuple]) -> bool:
+    """Only subject, bound predicate and object, and no object variable twice or equal to the subject."""
+    names = [o.variable if isinstance(o, Bound) else o for _, _, o in (p for p in group if len(p) == 3)]
+    variables = [group[0][0]] + [n for n in names if isinstance(n, str) and _is_var(n)]
+    return all(len(p) == 3 and not _is_var(p[1]) for p in group) and len(set(variables)) == len(variables)
+
+
 def bgp(quads: DataFrame, patterns: list[tuple]) -> DataFrame:
     """Basic graph pattern: natural join of its triple patterns.
 
     Patterns are joined in the order given; each must share a variable with
-    those before it.
+    those before it.  Neighbours on one subject variable join first, on the
+    subject column.  An object may be a ``Bound`` where the predicate is bound.
     """
-    return reduce(natural_join, [match(quads, *p) for p in patterns])
+    groups: list[list[tuple]] = []
+    for p in patterns:
+        if groups and _is_var(p[0]) and groups[-1][0][0] == p[0] and _star_like(groups[-1] + [p]):
+            groups[-1].append(p)
+        else:
+            groups.append([p])
+    parts = [_star(quads, g) if len(g) > 1 or isinstance(g[0][2], Bound) else match(quads, *g[0]) for g in groups]
+    return reduce(natural_join, parts)
 
 
 def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quadrille import model as m
 from quadrille.functions import text as tx
-from quadrille.operators import taxonomy as tax
+from quadrille.operators import reachability, taxonomy as tax
 from quadrille.operators.aggregates import sample_terms
 from quadrille.operators.paths import inv, reach
 from quadrille.session import cut, group_index
@@ -65,25 +65,35 @@ def subclass_candidates(classes: DataFrame, parents: DataFrame, limit: int = 100
     """(iri, candidate, words_matched, rank): classes whose name keeps some
     words of this one in order, not already above or below it.
 
-    A name shared by very many classes is entered by rank blocks: each class
-    reads just enough blocks to be sure of ``limit`` unrelated ones.
+    A name shared by very many classes is entered by rank blocks, in doubling
+    numbers, until a class has ``limit`` unrelated ones; kinship is tested by
+    reachability labels, so no closure is built.
     """
     named = cut(classes.select("iri", "label", label_tokens(F.col("label")).alias("words")))
     pairs = contained_names(named).filter((F.size("words") > 1) & ~_negated(F.col("words")) & ~_negated(F.col("part")))
-    edges = parents.select("src", "dst").distinct()
-    up = reach(edges).select(F.col("start").alias("iri"), F.col("node").alias("candidate"))
-    related = cut(up.unionAll(up.select(F.col("candidate").alias("iri"), F.col("iri").alias("candidate"))).distinct())
+    labels = reachability.index(parents)
     ranked = group_index(named.select("words", "iri", "label"), ["words"], [F.lower("label"), F.col("iri")], "r").select(
         F.col("words").alias("part"), F.col("iri").alias("candidate"), F.col("label").alias("c_label"),
         F.floor((F.col("r") - 1) / limit).alias("block"))
-    ranked = cut(ranked)
-    inside = related.join(ranked.select("candidate", "part"), "candidate").groupBy("iri", "part").agg(F.count(F.lit(1)).alias("n"))
-    asked = named.select("iri", "words").join(pairs, "words").join(inside, ["iri", "part"], "left")
-    blocks = F.sequence(F.lit(0).cast("long"), F.ceil((limit + F.coalesce("n", F.lit(0))) / limit))
-    asked = asked.select("iri", "part", F.explode(blocks).alias("block"))
-    hits = asked.join(ranked, ["part", "block"]).filter("candidate <> iri").join(related, ["iri", "candidate"], "left_anti")
+    ranked = cut(reachability.labelled(labels, ranked, "candidate", "c"))
+    last = ranked.groupBy("part").agg(F.max("block").alias("last"))
+    asking = reachability.labelled(labels, named.select("iri", "words"), "iri", "i")
+    open_ = cut(asking.join(pairs, "words").drop("words").join(last, "part"))
+    found, first, width = None, 0, 1
+    while True:
+        # blocks first .. first + width - 1 of each name that still lacks unrelated classes
+        asked = open_.withColumn("block", F.explode(F.sequence(F.lit(first).cast("long"), F.least(F.col("last"), F.lit(first + width - 1)))))
+        met = asked.join(ranked, ["part", "block"]).filter("candidate <> iri")
+        met = reachability.above(labels, reachability.above(labels, met, "i", "c", "up"), "c", "i", "down").filter("NOT up AND NOT down")
+        free = met.select("iri", "candidate", "part", "c_label")
+        found = cut(free if found is None else found.unionByName(free))
+        first, width = first + width, 2 * width
+        enough = found.groupBy("iri", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
+        open_ = cut(open_.filter(F.col("last") >= first).join(enough, ["iri", "part"], "left_anti"))
+        if open_.isEmpty():
+            break
     w = W.partitionBy("iri").orderBy(F.size("part").desc(), F.lower("c_label"), "candidate")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select(
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select(
         "iri", "candidate", F.size("part").alias("words_matched"), "rank")
 
 
@@ -113,9 +123,10 @@ def intersection_candidates(classes: DataFrame, parents: DataFrame, existing: Da
     duo = duo.withColumn("total", F.size("pa") + F.size("pb"))
     rows = named.join(duo, "words")
     # a candidate below the class would make a cycle
-    down = reach(inv(parents.select("src", "dst").distinct())).select(F.col("start").alias("iri"), F.col("node").alias("x"))
+    rows, labels = cut(rows), reachability.index(parents)
     for side in ("first", "second"):
-        rows = rows.join(down.withColumnRenamed("x", side), ["iri", side], "left_anti")
+        asked = rows.select("iri", side).distinct()
+        rows = rows.join(reachability.reaching(labels, asked, side, "iri"), ["iri", side], "left_anti")
     if existing is not None:
         rows = rows.join(existing.select("iri", "first", "second"), ["iri", "first", "second"], "left_anti")
     w = W.partitionBy("iri").orderBy(F.desc("coverage"), F.desc("total"), "first", "second")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quadrille import model as m
+from quadrille.operators import reachability
 from quadrille.operators.aggregates import sample_terms
 from quadrille.operators.paths import graph_nodes, inv, reach
 from quadrille.session import cut, global_index
@@ -15,8 +16,7 @@ from quadrille.session import cut, global_index
 
 def descendant_counts(parents: DataFrame) -> DataFrame:
     """Unique descendants per class; a class on a cycle does not count itself."""
-    pairs = reach(inv(parents)).filter(F.col("start") != F.col("node"))
-    return pairs.groupBy(F.col("start").alias("iri")).agg(F.count(F.lit(1)).alias("descendants"))
+    return reachability.descendant_counts(reachability.index(parents)).select(F.col("node").alias("iri"), F.col("n").alias("descendants"))
 
 
 def ancestry_trail(parents: DataFrame, iris: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -39,71 +39,11 @@ def ancestry_trail(parents: DataFrame, iris: DataFrame, max_depth: int | None =
 
 # -- cycles and components --------------------------------------------------
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges at nodes without an incoming or outgoing edge, repeatedly."""
-    size = edges.count()
-    while size:
-        heads = edges.select(F.col("src").alias("_n")).distinct()
-        tails = edges.select(F.col("dst").alias("_n")).distinct()
-        kept = (edges.join(heads, F.col("dst") == F.col("_n"), "left_semi")
-                .join(tails, F.col("src") == F.col("_n"), "left_semi"))
-        edges = cut(kept)
-        left = edges.count()
-        if left == size:
-            break
-        size = left
-    return edges
-
-
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """Nodes on a directed cycle: in a strongly connected component of more
-    than one node, or with a loop.
-
-    Acyclic fringe is trimmed first.  On the rest, the smallest name flows
-    forward; each name's origin then collects, backwards, the nodes that
-    share its colour, which is its component.  Work per round is linear in
-    the edges left; no pair closure is built.
-    """
-    loops = edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("iri")).distinct()
-    core = _trim(cut(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()))
-    found = [loops]
-    while not core.isEmpty():
-        colour = cut(graph_nodes(core).select("node", F.col("node").alias("c")))
-        while True:   # propagate the smallest colour along the edges
-            sent = (core.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node"))
-                    .agg(F.min("c").alias("_in")))
-            nxt = colour.join(sent, "node", "left").select(
-                "node", F.least("c", F.coalesce("_in", "c")).alias("c"),
-                (F.coalesce("_in", "c") < F.col("c")).alias("changed"))
-            nxt = cut(nxt)
-            moved = not nxt.filter("changed").isEmpty()
-            colour = nxt.drop("changed")
-            if not moved:
-                break
-        inside = (core.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src")
-                  .join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
-                  .filter("cs = cd").select("src", "dst", F.col("cs").alias("c")))
-        inside = cut(inside)
-        members = frontier = colour.filter("node = c")
-        while True:   # walk back from each colour's origin
-            back = (inside.select("src", F.col("dst").alias("node"), "c").join(frontier, ["node", "c"])
-                    .select(F.col("src").alias("node"), "c").distinct()
-                    .join(members, ["node", "c"], "left_anti"))
-            frontier = cut(back)
-            if frontier.isEmpty():
-                break
-            members = members.unionByName(frontier)
-        members = cut(members)
-        sizes = members.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        found.append(members.join(sizes, "c", "left_semi").select(F.col("node").alias("iri")))
-        done = members.select(F.col("node").alias("_n"))
-        core = (core.join(done, F.col("src") == F.col("_n"), "left_anti")
-                .join(done, F.col("dst") == F.col("_n"), "left_anti"))
-        core = _trim(cut(core))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    than one node, or with a loop."""
+    loops = edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("iri"))
+    return loops.unionByName(reachability.strong_components(edges).select(F.col("node").alias("iri"))).distinct()
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -78,7 +78,8 @@ _GRAPH = f"""g AS MATERIALIZED (SELECT DISTINCT s AS src, p AS pred, o AS dst FR
       UNION SELECT dst, src, pred, false FROM g WHERE dst = '{EX}brand/7')
     SELECT *, (SELECT count(*) FROM n) AS total FROM n""")
 def neighbours_of_brand(src):
-    return pa.neighbours(pa.graph_edges(src.loaded("catalog")), EX + "brand/7", 4000)
+    st = src.stored("catalog")
+    return pa.neighbours(pa.graph_edges(st.quads), EX + "brand/7", 4000, pa.graph_edges(st.by_object))
 
 
 @query("P10", "breadth_first_expansion", data="catalog", sql=f"""WITH {EDGES}, {TWO_WAY},

@@ -22,9 +22,8 @@ def _q(p: str) -> str:
     WHERE a.o = 'O' AND cast(b.o AS decimal(18,2)) > 400000
     ORDER BY cast(b.o AS decimal(18,2)) DESC, a.s LIMIT 100""")
 def expensive_open_orders(src):
-    q = src.quads("orders")
-    rows = pt.bgp(q, [("?ordered", STATUS, t.literal("O")), ("?ordered", TOTAL, "?price"), ("?ordered", REF, "?ref")])
-    rows = pt.filter_(rows, t.term_cmp(F.col("price"), ">", t.literal("400000", t.INTEGER)))
+    q = src.stored("orders").by_subject
+    rows = pt.bgp(q, [("?ordered", TOTAL, pt.Bound("?price", ">", "400000")), ("?ordered", STATUS, t.literal("O")), ("?ordered", REF, "?ref")])
     rows = od.order_by(rows, (F.col("price"), "desc"), (F.col("ordered"), "asc"))
     return lex(od.slice_(rows, 100))
 
@@ -195,7 +194,7 @@ def validate_price_and_rating_cells(src):
     SELECT a.s AS ordered, d.o AS region FROM {_q(BUYER)} a JOIN {_q(NATION)} b ON a.o = b.s
     JOIN {_q(REGION)} c ON b.o = c.s JOIN {_q(LABEL)} d ON c.o = d.s""")
 def order_buyer_nation_region(src):
-    q = src.quads("orders", "customers", "geo")
+    q = src.loaded("orders", "customers", "geo")
     rows = pt.bgp(q, [("?ordered", BUYER, "?c"), ("?c", NATION, "?n"), ("?n", REGION, "?r"), ("?r", LABEL, "?region")])
     return lex(rows, "ordered", "region")
 
@@ -236,8 +235,8 @@ def compatible_join_counts(src):
     LEFT JOIN (SELECT x.s, x.o AS c, y.o AS total FROM {_q(BUYER)} x JOIN {_q(TOTAL)} y ON x.s = y.s) b
       ON b.c = a.s AND cast(b.total AS decimal(18,2)) > 450000""")
 def optional_with_inner_filter(src):
-    left = pt.match(src.quads("customers"), "?c", SEGMENT, "?seg").drop("seg")
-    right = pt.bgp(src.quads("orders"), [("?ordered", BUYER, "?c"), ("?ordered", TOTAL, "?total")])
+    left = pt.match(src.loaded("customers"), "?c", SEGMENT, "?seg").drop("seg")
+    right = pt.bgp(src.loaded("orders"), [("?ordered", BUYER, "?c"), ("?ordered", TOTAL, "?total")])
     out = pt.optional(left, right, lambda l, r: t.term_cmp(r["total"], ">", t.literal("450000", t.INTEGER)))
     return lex(out, "c", "ordered")
 
@@ -268,8 +267,8 @@ def minus_with_unbound(src):
     SELECT a.s AS c FROM {_q(SEGMENT)} a WHERE EXISTS (
       SELECT 1 FROM {_q(BUYER)} x JOIN {_q(STATUS)} y ON x.s = y.s WHERE x.o = a.s AND y.o = 'O')""")
 def customers_with_open_order(src):
-    left = pt.match(src.quads("customers"), "?c", SEGMENT, "?seg").drop("seg")
-    right = pt.bgp(src.quads("orders"), [("?ordered", BUYER, "?c"), ("?ordered", STATUS, t.literal("O"))])
+    left = pt.match(src.loaded("customers"), "?c", SEGMENT, "?seg").drop("seg")
+    right = pt.bgp(src.loaded("orders"), [("?ordered", BUYER, "?c"), ("?ordered", STATUS, t.literal("O"))])
     return lex(pt.exists(left, right))
 
 
@@ -311,9 +310,9 @@ def dataset_selection(src):
     SELECT b.o AS c, cast(max(cast(a.o AS decimal(18,2))) AS varchar) AS top, max(d.o) AS name
     FROM {_q(TOTAL)} a JOIN {_q(BUYER)} b ON a.s = b.s JOIN {_q(LABEL)} d ON d.s = b.o GROUP BY b.o""")
 def subquery_best_order(src):
-    inner = pt.bgp(src.quads("orders"), [("?ordered", TOTAL, "?x"), ("?ordered", BUYER, "?c")])
+    inner = pt.bgp(src.loaded("orders"), [("?ordered", TOTAL, "?x"), ("?ordered", BUYER, "?c")])
     inner = ag.group(inner, ["c"], top=ag.max_(F.col("x")))
-    return lex(pt.subquery(inner, pt.match(src.quads("customers"), "?c", LABEL, "?name")), "c", "top", "name")
+    return lex(pt.subquery(inner, pt.match(src.loaded("customers"), "?c", LABEL, "?name")), "c", "top", "name")
 
 
 @query("J9", "theta_join_on_sum", data="customers suppliers", sql=f"""

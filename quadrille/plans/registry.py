@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.plans import datasets as d
-from quadrille.session import cut
+from quadrille.sources import store
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,9 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 
+#: datasets stored by this process: (application, folder, dataset) to its tables
+STORED: dict[tuple[str, str, str], store.Store] = {}
+
 
 class Source:
     """What a query sees: the session, the tables and the derived quads."""
@@ -37,10 +41,20 @@ class Source:
         """The virtual quads: right for patterns that bind the predicate."""
         return d.quads(self.spark, self.sf_dir, *names)
 
+    def stored(self, *names: str) -> store.Store:
+        """The quads as stored tables, written on first use by the application:
+        right for look-ups, star joins and operators that scan them several
+        times or in every round of a loop."""
+        parts = []
+        for name in names:
+            key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+            if key not in STORED:
+                STORED[key] = store.save(self.quads(name))
+            parts.append(STORED[key])
+        return reduce(store.Store.union, parts)
+
     def loaded(self, *names: str) -> DataFrame:
-        """The quads materialised once: right for operators that scan them
-        several times or in every round of a loop."""
-        return cut(self.quads(*names))
+        return self.stored(*names).quads
 
 
 def query(ids: str, name: str, sql: str | None = None, data: str = ""):

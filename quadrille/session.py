@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -54,6 +55,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back.
+
+    Like ``cut``, but nothing of the old plan stays: a checkpoint hands down
+    constraints and orderings, which grow with every self-join of a doubling
+    loop until planning takes longer than the work.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input (fewer splits than cores, such as one file with one
     row group) enough tasks for CPU-heavy work; large inputs pass unshuffled."""
