@@ -42,25 +42,62 @@ def _no_errors(c: Column) -> Column:
     return F.count(F.lit(1)) == F.count(t.double_value(c))
 
 
+def _all(value: Column) -> Column:
+    return F.count(value) == F.count(F.lit(1))
+
+
 def sum_(c: Column, distinct: bool = False) -> Column:
     """SUM with promotion; one non-numeric member makes it unbound, an empty
-    group gives 0."""
+    group gives 0.
+
+    Integers add exactly up to 38 digits, decimals with up to 20 digits before
+    and 18 after the point; a sum beyond is an error.
+    """
     add = F.sum_distinct if distinct else F.sum
-    exact = add(t.decimal_value(c))
-    all_exact = F.count(t.decimal_value(c)) == F.count(F.lit(1))
-    value = F.when(all_exact, t._number_text(F.coalesce(exact, F.lit(0).cast("decimal(38,18)")))).otherwise(
-        add(t.double_value(c)).cast("string"))
+    zero = F.lit(0).cast("decimal(38,18)")
+    value = (F.when(_all(t.integer_value(c)), F.coalesce(add(t.integer_value(c)), F.lit(0).cast("decimal(38,0)")).cast("string"))
+             .when(_all(t.decimal_value(c)), t._number_text(F.coalesce(add(t.decimal_value(c)), zero)))
+             .otherwise(add(t.double_value(c)).cast("string")))
     return F.when(_no_errors(c), t.literal(value, _promoted(c)))
 
 
+def _mean_text(total: Column, n: Column) -> Column:
+    """Quotient of a whole number of up to 38 digits to 18 places, rounded half up.
+
+    Long division in groups of 18 digits: each quotient fits a long, each
+    remainder with the next group 38 digits.
+    """
+    wide = lambda x: x.cast("decimal(38,0)")
+    div = lambda a, b: F.call_function("div", a, b)
+    group_, count_ = F.lit(10 ** 18).cast("decimal(19,0)"), n.cast("decimal(18,0)")
+    digits = F.lpad(F.abs(total).cast("string"), 54, "0")
+    whole, rest = [], F.lit(0).cast("decimal(18,0)")
+    for k in range(3):
+        now = wide(wide(rest * group_) + F.substring(digits, 18 * k + 1, 18).cast("decimal(18,0)"))
+        whole.append(div(now, count_))
+        rest = (now % count_).cast("decimal(18,0)")
+    part = div(wide(wide(rest * group_) * 2) + count_, count_ * 2)
+    # below 10**18 members a fraction never rounds up to one
+    text = F.concat(whole[0].cast("string"), F.lpad(whole[1].cast("string"), 18, "0"), F.lpad(whole[2].cast("string"), 18, "0"), F.lit("."),
+                    F.lpad(part.cast("string"), 18, "0"))
+    plain = F.regexp_replace(F.regexp_replace(text, r"^0+(?=\d)", ""), r"\.?0+$", "")
+    return F.when((total < 0) & (plain != "0"), F.concat(F.lit("-"), plain)).otherwise(plain)
+
+
 def avg_(c: Column, distinct: bool = False) -> Column:
-    """AVG: integers average to a decimal; an empty group gives 0."""
+    """AVG: integers average to a decimal; an empty group gives 0.
+
+    Integers of up to 38 digits average exactly to 18 places.
+    """
+    add = F.sum_distinct if distinct else F.sum
+    n = F.countDistinct if distinct else F.count
     pick = (lambda x: F.sum_distinct(x) / F.countDistinct(x)) if distinct else F.avg
     exact = F.coalesce(pick(t.decimal_value(c)).cast("decimal(38,18)"), F.lit(0).cast("decimal(38,18)"))
-    all_exact = F.count(t.decimal_value(c)) == F.count(F.lit(1))
     kind = _promoted(c)
     kind = F.when((kind == t.INTEGER) & (F.count(F.lit(1)) > 0), t.DECIMAL).otherwise(kind)
-    value = F.when(all_exact, t._number_text(exact)).otherwise(pick(t.double_value(c)).cast("string"))
+    whole = t.integer_value(c)
+    value = (F.when(F.count(F.lit(1)) == 0, "0").when(_all(whole), _mean_text(add(whole), n(whole)))
+             .when(_all(t.decimal_value(c)), t._number_text(exact)).otherwise(pick(t.double_value(c)).cast("string")))
     return F.when(_no_errors(c), t.literal(value, kind))
 
 

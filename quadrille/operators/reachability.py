@@ -35,7 +35,7 @@ def _back(edges: DataFrame) -> DataFrame:
 def _dead_chains(edges: DataFrame) -> DataFrame:
     """Nodes from which single out-edges lead to an end: no cycle passes them.
 
-    Pointers double twice a round; a round that closes no further chain is the
+    Pointers double three times a round; a round that closes no further chain is the
     last, so rings do not keep the loop going.
     """
     one = edges.groupBy("src").agg(F.min("dst").alias("to"), F.count(F.lit(1)).alias("n"))
@@ -43,7 +43,7 @@ def _dead_chains(edges: DataFrame) -> DataFrame:
         "node", F.when(F.col("n") == 1, F.col("to")).alias("to"), F.col("n").isNull().alias("dead"))
     state, open_ = stored(kinds), None
     while True:
-        for _ in range(2):
+        for _ in range(3):
             ahead = state.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("dead").alias("_dead"))
             state = state.join(ahead, "to", "left").select(
                 "node", F.col("_to").alias("to"), (F.col("dead") | F.coalesce("_dead", F.lit(False))).alias("dead"))
@@ -84,7 +84,7 @@ def spread_min(edges: DataFrame, values: DataFrame) -> DataFrame:
     One step over all edges alternates with doubled steps along the best edge
     of each node, so a path without branches costs the logarithm of its length.
     """
-    state = stored(values.select("node", "m"))
+    state = values.select("node", "m")
     while True:
         sent = edges.join(state, F.col("dst") == F.col("node")).groupBy("src").agg(
             F.min(F.struct("m", "dst")).alias("best"))
@@ -95,11 +95,14 @@ def spread_min(edges: DataFrame, values: DataFrame) -> DataFrame:
             return stepped.select("node", "m")
         state = stepped.select("node", "m", "to")
         while True:
-            ahead = state.select(F.col("node").alias("to"), F.col("m").alias("_m"), F.col("to").alias("_to"))
-            state = stored(state.join(ahead, "to", "left").select(
-                "node", F.least("m", F.coalesce("_m", "m")).alias("m"), F.col("_to").alias("to"), (F.col("_m") < F.col("m")).alias("moved")))
-            if state.filter("moved").isEmpty():
+            far = state.withColumn("old", F.col("m"))
+            for _ in range(2):
+                ahead = far.select(F.col("node").alias("to"), F.col("m").alias("_m"), F.col("to").alias("_to"))
+                far = far.join(ahead, "to", "left").select("node", F.least("m", F.coalesce("_m", "m")).alias("m"), F.col("_to").alias("to"), "old")
+            state = stored(far)
+            if state.filter("m < old").isEmpty():
                 break
+            state = state.drop("old")
         state = state.select("node", "m")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quadrille import model as m
@@ -9,7 +11,7 @@ from quadrille.functions import text as tx
 from quadrille.operators import reachability, taxonomy as tax
 from quadrille.operators.aggregates import sample_terms
 from quadrille.operators.paths import inv, reach
-from quadrille.session import cut, group_index
+from quadrille.session import cut, group_index, stored
 
 # Words that do not count in a name, and words that negate it.
 SKIP_WORDS = ["and", "of", "the", "a", "an"]
@@ -79,14 +81,14 @@ def subclass_candidates(classes: DataFrame, parents: DataFrame, limit: int = 100
     last = ranked.groupBy("part").agg(F.max("block").alias("last"))
     asking = reachability.labelled(labels, named.select("iri", "words"), "iri", "i")
     open_ = cut(asking.join(pairs, "words").drop("words").join(last, "part"))
-    found, first, width = None, 0, 1
+    parts, first, width = [], 0, 1
     while True:
         # blocks first .. first + width - 1 of each name that still lacks unrelated classes
         asked = open_.withColumn("block", F.explode(F.sequence(F.lit(first).cast("long"), F.least(F.col("last"), F.lit(first + width - 1)))))
         met = asked.join(ranked, ["part", "block"]).filter("candidate <> iri")
         met = reachability.above(labels, reachability.above(labels, met, "i", "c", "up"), "c", "i", "down").filter("NOT up AND NOT down")
-        free = met.select("iri", "candidate", "part", "c_label")
-        found = cut(free if found is None else found.unionByName(free))
+        parts.append(stored(met.select("iri", "candidate", "part", "c_label")))
+        found = reduce(DataFrame.unionByName, parts)
         first, width = first + width, 2 * width
         enough = found.groupBy("iri", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
         open_ = cut(open_.filter(F.col("last") >= first).join(enough, ["iri", "part"], "left_anti"))
