@@ -50,6 +50,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(part: str) -> bool:
+    """Whether digits, however many zeros lead them, are at most 255."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Each ``@`` takes the longest local part before it that no earlier match used."""
     end, at = 0, text.find("@")
@@ -69,7 +75,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the base patterns, in code points, by start and kind."""
     out = [(s, 0, e) for s, e in _emails(text)]
     if HOT.search(text):
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(map(octet, m[0].split(".")))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -134,7 +140,7 @@ def features(text: str, start: int, end: int, n_tokens: int) -> list[str]:
     if shape == "digits" and len(digits) >= 12:
         out.append(f"luhn={luhn(digits)},{d}")
     if shape == "ip":
-        out.append(f"octets={all(int(p) <= 255 for p in s.split('.'))}")
+        out.append(f"octets={all(map(octet, s.split('.')))}")
     return out
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import divergence, hard_negatives as hn, language_gru as lg
+from quadrille.llm import divergence, hard_negatives as hn, language_gru as lg, personal_data
 from quadrille.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -230,3 +230,9 @@ def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     rows = QUERIES["op13_byte_gru"](spark, SF).join(docs, "doc_id").filter("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.9
+
+
+def test_addresses_with_thousands_of_zeros():
+    text = "0" * 5000 + ".1.2.3 and 256.1.1.1 and " + "9" * 5000 + ".1.2.3"
+    assert personal_data.base_spans(text)[0] == (0, "ip", 5006)
+    assert [k for _, k, _ in personal_data.base_spans(text)].count("ip") == 1
