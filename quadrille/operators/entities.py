@@ -25,8 +25,6 @@ DECLARED_KIND = {
 }
 QUANTIFIERS = {"someValuesFrom": "some", "allValuesFrom": "only", "hasValue": "value",
                "minCardinality": "min", "maxCardinality": "max", "cardinality": "exactly"}
-LIST_LIMIT = 4096
-NEST_LIMIT = 64
 
 
 def _lookup(d: dict[str, str], key: Column) -> Column:
@@ -177,12 +175,13 @@ def flatten_restrictions(rows: DataFrame) -> DataFrame:
 
 # -- lists and conjunctions -------------------------------------------------
 
-def rdf_lists(quads: DataFrame, heads: DataFrame, limit: int = LIST_LIMIT) -> tuple[DataFrame, DataFrame]:
+def rdf_lists(quads: DataFrame, heads: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Flatten RDF lists: members ``(g, head, pos, cell, member)`` and
     ``(g, head, issue)``.
 
     ``heads(g, head)``.  Pointer doubling: round k appends the cells 2^k to
-    2^(k+1)-1 steps away, so a list of 4096 cells takes 12 rounds.
+    2^(k+1)-1 steps away, so a list of 4096 cells takes 12 rounds.  With a
+    ``limit``, longer lists are an issue of that name.
     """
     in_list = quads.filter(F.col("p").isin(m.FIRST, m.REST)).withColumn("g", F.coalesce("g", F.lit("")))
     is_first, is_rest = F.col("p") == m.FIRST, F.col("p") == m.REST
@@ -203,7 +202,7 @@ def rdf_lists(quads: DataFrame, heads: DataFrame, limit: int = LIST_LIMIT) -> tu
             break
         rows = cut(rows.unionByName(more))
         twice = rows.groupBy("g", "head", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        long = rows.filter(F.col("pos") >= limit)
+        long = rows.limit(0) if limit is None else rows.filter(F.col("pos") >= limit)
         bad = cut(twice.select("g", "head", F.lit("cycle").alias("issue")).unionAll(
             long.select("g", "head", F.lit("limit").alias("issue"))).groupBy("g", "head").agg(F.min("issue").alias("issue")))
         issues = issues.unionByName(bad)
@@ -261,7 +260,7 @@ def _nested(conj: DataFrame, follow: DataFrame) -> DataFrame:
     direct = conj.filter("issue is null").select("expr", "member").distinct()
     inner = follow.select(F.col("expr").alias("member"))
     links = direct.join(inner, "member", "left_semi").select(F.col("expr").alias("src"), F.col("member").alias("dst"))
-    below = reach(links, max_depth=NEST_LIMIT).select(F.col("start").alias("top"), F.col("node").alias("expr"))
+    below = reach(links).select(F.col("start").alias("top"), F.col("node").alias("expr"))
     own = direct.select(F.col("expr").alias("top"), "expr").distinct()
     every = own.unionAll(below.select("top", "expr")).distinct().join(direct, "expr")
     return every.join(inner, "member", "left_anti").select(F.col("top").alias("expr"), "member").distinct()

@@ -104,8 +104,10 @@ def match_terms(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     asked = cut(tokens.select("token").distinct())
     terms = vocabulary.select("term").distinct()
-    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substr(F.col("term"), F.lit(1), i)))
-    starts = terms.filter("term <> ''").select("term", prefix.alias("token")).join(asked, "token").select(
+    # only prefixes as long as some token; a subquery may not sit inside a lambda
+    sizes = asked.agg(F.collect_set(F.length("token"))).scalar()
+    prefix = F.explode(F.transform(F.filter("_sizes", lambda n: (n > 0) & (n <= F.length("term"))), lambda n: F.substr(F.col("term"), F.lit(1), n)))
+    starts = terms.withColumn("_sizes", sizes).select("term", prefix.alias("token")).join(asked, "token").select(
         "token", "term", F.when(F.col("token") == F.col("term"), "exact").otherwise("prefix").alias("how"))
     found = [starts]
     for edits in (1, 2):

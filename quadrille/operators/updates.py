@@ -95,7 +95,17 @@ def subtract(quads: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def insert_data(quads: DataFrame, new: DataFrame) -> DataFrame:
-    return as_set(quads.unionByName(new))
+    """``quads``, a set of statements, and those of ``new`` that it lacks.
+
+    A statement that is there keeps its position.  What of ``new`` is there
+    comes from a semi-join, for which a small ``new`` is broadcast by its
+    measured size: the table is read, not shuffled or grouped.
+    """
+    own = [F.col(c).alias(f"_{c}") for c in m.STATEMENT]
+    both = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in m.STATEMENT])
+    fresh = as_set(new)
+    there = quads.select(*m.STATEMENT).join(fresh.select(*own), both, "left_semi").select(*own)
+    return quads.select(*m.QUAD_COLS).unionByName(fresh.join(there, both, "left_anti").select(*m.QUAD_COLS))
 
 
 def delete_data(quads: DataFrame, gone: DataFrame) -> DataFrame:
@@ -142,7 +152,7 @@ def _in_graph(quads: DataFrame, g: str | None) -> DataFrame:
 def add_graph(quads: DataFrame, source: str | None, target: str | None) -> DataFrame:
     """ADD: the statements of ``source`` also go to ``target``; NULL is the
     default graph."""
-    return as_set(quads.unionByName(_in_graph(quads, source).withColumn("g", F.lit(target).cast("string"))))
+    return insert_data(quads, _in_graph(quads, source).withColumn("g", F.lit(target).cast("string")))
 
 
 def copy_graph(quads: DataFrame, source: str | None, target: str | None) -> DataFrame:

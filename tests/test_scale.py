@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quadrille import model as m
 from quadrille.functions import terms as t, text as tx
-from quadrille.operators import aggregates as ag, patterns as pt, reachability as r
+from quadrille.operators import aggregates as ag, entities as en, patterns as pt, reachability as r, search as se, updates as up
 from quadrille.sources import store
 
 
@@ -134,8 +134,39 @@ def test_integers_add_and_average_exactly(spark, values, total, mean):
     assert row["a"]["datatype"] == t.DECIMAL and (mean is None or row["a"]["value"] == mean)
 
 
+def test_long_lists_keep_their_members(spark):
+    n = 5000
+    cell = F.format_string("_:c%05d", "id")
+    rest = F.when(F.col("id") == n - 1, F.lit(m.NIL)).otherwise(F.format_string("_:c%05d", F.col("id") + 1))
+    cells = spark.range(n)
+    quads = m.resource_quads(cells, cell, F.lit(m.FIRST), F.format_string("m%05d", "id")).unionByName(m.resource_quads(cells, cell, F.lit(m.REST), rest))
+    heads = spark.createDataFrame([(None, "_:c00000")], "g string, head string")
+    members, issues = en.rdf_lists(quads, heads)
+    got = members.orderBy("pos").collect()
+    assert [(x["pos"], x["member"]) for x in got] == [(i, f"m{i:05d}") for i in range(n)] and issues.count() == 0
+
+
 def test_texts_that_can_name_an_entity(spark):
     yes = ["red apple", "R&D", "AT&T Labs", "a - b", "5% (new)", "x.y", "a" * 256]
     no = ["", "   ", "label:apple", "see rdfs:label: x", "ex:thing", "<http://a.b/c>", "/ab+c/I", "a|b", "x*", "[ab]", "(?i)x", "a.+b", "b{2,}", "c:\\d", "a" * 257]
     rows = spark.createDataFrame([(x,) for x in yes + no], "x string").select("x", tx.can_name_entity(F.col("x")).alias("ok")).collect()
     assert [x["x"] for x in rows if x["ok"]] == yes
+
+
+def test_inserts_keep_what_is_there(spark):
+    rows = [("a", "p", "1", "literal", None, None, None, 5), ("a", "p", "b", "iri", None, None, "g", 6)]
+    new = [("a", "p", "1", "literal", None, None, None, 0), ("a", "p", "1", "literal", t.INTEGER, None, None, 1), ("c", "p", "b", "iri", None, None, None, 2),
+           ("c", "p", "b", "iri", None, None, None, 3)]
+    quads = spark.createDataFrame(rows, m.QUADS)
+    out = up.insert_data(quads, spark.createDataFrame(new, m.QUADS))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(rows + [new[1], new[2]], key=str)
+    again = up.insert_data(out, out.filter("s = 'c'").withColumn("g", F.lit("h")))
+    assert again.count() == 5 and up.insert_data(quads, quads).count() == 2 and up.insert_data(quads, quads.limit(0)).count() == 2
+
+
+def test_terms_match_by_prefix_and_spelling(spark):
+    tokens = spark.createDataFrame([("app",), ("apple",), ("zzz",), ("",)], "token string")
+    terms = spark.createDataFrame([("app",), ("apple",), ("applet",), ("ap",), ("aple",), ("x" * 3000,)], "term string")
+    got = {(x["token"], x["term"], x["how"]) for x in se.match_terms(tokens, terms).collect()}
+    assert got == {("app", "app", "exact"), ("app", "apple", "prefix"), ("app", "applet", "prefix"), ("apple", "apple", "exact"),
+                   ("apple", "applet", "prefix"), ("apple", "aple", "fuzzy")}
