@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quadrille.llm.common import col
+from quadrille.llm.common import col, pick
 
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -191,8 +191,8 @@ def train(examples: list[tuple[str, bytes]], recipe: Recipe = Recipe()) -> Netwo
 
 
 def sampled(docs: DataFrame, recipe: Recipe) -> list[tuple[str, bytes]]:
-    """At most ``recipe.docs`` documents a language, by a hash of text and row, as windows."""
-    spark = docs.sparkSession
+    """At most ``recipe.docs`` documents a language, by a hash of the id, as windows."""
+    spark, docs = docs.sparkSession, pick(docs, doc_id="doc_id", text="text", lang="lang")
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(recipe.languages).collect()
     if not counts:

@@ -72,7 +72,7 @@ def test_hard_negatives_equal_brute_force(spark, mining):
 def test_hard_negatives_of_nothing(spark):
     empty = spark.createDataFrame([], EMB)
     assert hn.mined(empty, F.col("vec_id") % 10 == 0).count() == 0
-    one = spark.createDataFrame(embeddings(1, 1)[:1], EMB)
+    one = spark.createDataFrame(embeddings(6, 1)[:1], EMB)
     assert hn.mined(one, F.col("vec_id") % 10 == 0).count() == 0
 
 
