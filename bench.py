@@ -13,6 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quadrille.plans.catalogue import QUERIES  # noqa: E402
+from quadrille.plans.registry import Source  # noqa: E402
 from quadrille.session import local_session  # noqa: E402
 
 # the reference numbers each query stands next to are listed in README.md
@@ -43,8 +44,13 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, "bench")
     spark.sparkContext.setLogLevel("ERROR")
-    QUERIES["customers_with_open_order"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm the JVM
+    QUERIES["scan_by_predicate_and_object"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm the JVM
     times = {}
+    start = time.time()
+    # the datasets that the queries below keep as stored quads, written once
+    for dataset in ("orders", "customers", "geo", "catalog", "rings"):
+        Source(spark, sf_dir).stored(dataset)
+    times["store_datasets"] = round(time.time() - start, 3)
     for name in HEADLINE:
         start = time.time()
         QUERIES[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
