@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quadrille.session import cut, shared_folder
 
-__all__ = ["col", "cut", "fresh_path", "pick", "table", "written"]
+__all__ = ["by_text_id", "col", "cut", "fresh_path", "pick", "table", "written"]
 
 
 def col(name: str) -> Column:
@@ -25,6 +26,16 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[col(source).alias(own) for own, source in names.items()])
 
 
+def by_text_id(df: DataFrame, fn: Callable, schema: str, key: str) -> DataFrame:
+    """``mapInPandas`` with the integer column ``key`` as text on both ways.
+
+    pandas turns integers beside a null into doubles, which rounds ids above
+    2**53; ``schema`` declares the column as a string.
+    """
+    out = df.withColumn(key, F.col(key).cast("string")).mapInPandas(fn, schema)
+    return out.withColumn(key, F.col(key).cast("long"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quadrille.llm.common import col, pick
+from quadrille.llm.common import by_text_id, col, pick
 
 KEEP = re.compile(r"[\W_]+")
 #: characters of items in one block
@@ -213,7 +213,7 @@ def leaks(docs: DataFrame, items: DataFrame, search: Search = Search(), doc_id:
     """
     d = pick(docs, doc_id=doc_id, text=text)
     known = pick(items, item_id=item_id, text=item_text).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    schema = "doc_id long, item_id long, n_found long, n_windows long, edits long"
+    schema = "doc_id string, item_id long, n_found long, n_windows long, edits long"
     out = None
     for entries in _blocks(known):
         block = Block(entries, search)
@@ -221,12 +221,11 @@ def leaks(docs: DataFrame, items: DataFrame, search: Search = Search(), doc_id:
         def run(batches: Iterator[pd.DataFrame], block: Block = block) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = [(doc, *m) for doc, t in zip(pdf["doc_id"], pdf["text"], strict=True) for m in block.matches(t)]
-                frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "n_found", "n_windows", "edits"])
-                yield frame.astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_found", "n_windows", "edits"])
 
-        part = d.mapInPandas(run, schema)
+        part = by_text_id(d, run, schema, "doc_id")
         out = part if out is None else out.union(part)
-    return d.sparkSession.createDataFrame([], schema) if out is None else out
+    return d.sparkSession.createDataFrame([], schema.replace("doc_id string", "doc_id long")) if out is None else out
 
 
 def _clean(block: Block):

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quadrille.llm.common import pick
+from quadrille.llm.common import by_text_id, pick
 
 # fixed values: elements by their role in a page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -201,6 +201,7 @@ def extracted(pages: DataFrame, sigma: float = 1.0, page_id: str = "page_id", ur
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [main_text(h, sigma) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pick(pages, page_id=page_id, url=url, html=html).mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    d = pick(pages, page_id=page_id, url=url, html=html)
+    return by_text_id(d, run, "page_id string, url string, text string, n_chars long", "page_id")

@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quadrille.llm.common import col, cut, pick, written
+from quadrille.llm.common import by_text_id, col, cut, pick, written
 from quadrille.llm.graph import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -251,7 +251,7 @@ def classes(docs: DataFrame, banding: Banding = Banding(), doc_id: str = "doc_id
     component_id and is kept.
     """
     d = pick(docs, doc_id=doc_id, text=text)
-    signed = written(d.mapInPandas(_signatures(banding), "doc_id long, n_shingles long, digest string, values array<long>"), "near-signatures")
+    signed = written(by_text_id(d, _signatures(banding), "doc_id string, n_shingles long, digest string, values array<long>", "doc_id"), "near-signatures")
     known = signed.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     same = known.groupBy("digest").agg(F.min("doc_id").alias("id"))
     reps = known.join(same.withColumnRenamed("id", "doc_id"), ["digest", "doc_id"]).groupBy("doc_id", "digest").agg(

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quadrille.llm.common import pick
+from quadrille.llm.common import by_text_id, pick
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE_KINDS = KINDS[:4]
@@ -253,7 +253,7 @@ def found(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", t
     """
     d = pick(docs, doc_id=doc_id, text=text)
     field = trained(d) if field is None else field
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, n_added long, spans string"
+    schema = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, n_added long, spans string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -264,7 +264,6 @@ def found(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", t
                 spans = all_spans(t, base, field)
                 rows.append((key, *[sum(k == kind for _, k, _ in base) for kind in BASE_KINDS],
                              hashlib.sha256(_joined(base).encode()).hexdigest(), len(spans) - len(base), _joined(spans)))
-            frame = pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "n_added", "spans"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "n_added", "spans"])
 
-    return d.mapInPandas(run, schema)
+    return by_text_id(d, run, schema, "doc_id")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from quadrille.llm.common import pick
+from quadrille.llm.common import by_text_id, pick
 
 END_ID = 2
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
@@ -181,6 +181,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     (d.repartitionByRange(*order).sortWithinPartitions(*order)
+     .select(F.col("doc_id").cast("string").alias("doc_id"), "text")    # pandas would round integers beside a null
      .mapInPandas(blocks, BLOCK_SCHEMA).write.parquet(path))
 
 
@@ -240,7 +241,7 @@ def documents(spark: SparkSession, path: str, doc_ids: list[int] | None = None)
             ids = [_unpacked(f, w, decompressor).astype(np.int64) for f, w in zip(pdf["frame"], pdf["id_bytes"], strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pd.Series(ids, dtype=object)})
 
-    return rows.mapInPandas(run, "doc_id long, ids array<int>")
+    return by_text_id(rows, run, "doc_id string, ids array<int>", "doc_id")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
