@@ -58,14 +58,15 @@ def save(quads: DataFrame, path: str | None = None, buckets: int | None = None)
     """Writes ``quads`` below ``path`` (default: a new folder in the shared one)
     and returns the stored tables, registered in the session's catalogue.
 
-    ``buckets`` defaults to the shuffle partitions of the session.  The
+    ``buckets`` defaults to the shuffle partitions of the session, but not more
+    than it has cores, since each bucket of each predicate is a file.  The
     partition column is ``p`` itself; only where a predicate exceeds FOLDER
     characters, which no folder name would hold, the folders are digests and
     ``p`` is a column inside.
     """
     spark = quads.sparkSession
     path = path or f"{shared_folder(spark)}/quads-{uuid.uuid4().hex}"
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, spark.sparkContext.defaultParallelism))
     rows, folder = quads.select(*m.QUAD_COLS).withColumn("num", number()), "p"
     if not quads.filter(F.length("p") > FOLDER).isEmpty():
         rows, folder = rows.withColumn("folder", F.sha1("p")), "folder"
