@@ -14,8 +14,13 @@ FS = "urn:filesystem:"
 
 def detect_format(files: DataFrame) -> DataFrame:
     """Adds ``format`` to ``files(path, content)`` from the first bytes, then
-    the extension; ``binaryFile`` tables have this shape."""
-    head = F.regexp_replace(F.substring(F.decode(F.substring(F.col("content"), 1, 8000), "UTF-8"), 1, 2000), r"^\s+", "")
+    the extension; ``binaryFile`` tables have this shape.
+
+    The cut may fall inside a character and the bytes may be in another
+    encoding: what is not UTF-8 counts as replacement characters.
+    """
+    first = F.make_valid_utf8(F.substring(F.col("content"), 1, 8000).cast("string"))
+    head = F.regexp_replace(F.substring(first, 1, 2000), r"^\s+", "")
     ext = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
     xml = head.rlike(r"^<\?xml|^<!DOCTYPE|^<[A-Za-z_][^>]*\bxmlns[:=]")
     turtle = ext.isin("owl", "rdf", "xml") & head.rlike(r"(?i)^(@prefix|@base|PREFIX|BASE)\b")
