@@ -62,11 +62,13 @@ def moved_classes(src):
     moves = src.table("part").filter("p_size = 5 and p_partkey > 0").select(
         part_iri().alias("iri"), F.concat(F.lit(EX + "part/"), F.floor(F.col("p_partkey") / 6).cast("string")).alias("from_parent"),
         F.lit(EX + "type/PROMO").alias("parent"))
-    # nested members travel with their moved ancestor: keep only the tops apart
-    tops = tax.branch_roots(edges, moves.select("iri"))
-    out, _ = ed.move_classes(q, edges, nodes, moves.join(tops, "iri", "left_semi"))
-    rest = moves.join(tops, "iri", "left_anti")
-    out, _ = ed.move_classes(cut(out), cut(edges), nodes, rest) if not rest.isEmpty() else (out, None)
+    # nested members travel with their moved ancestor: the tops move first,
+    # what lies below them in the next rounds, one for each level of nesting
+    out, rest = q, cut(moves)
+    while not rest.isEmpty():
+        tops = cut(tax.branch_roots(edges, rest.select("iri")))
+        out = cut(ed.move_classes(out, edges, nodes, rest.join(tops, "iri", "left_semi"))[0])
+        rest = cut(rest.join(tops, "iri", "left_anti"))
     return out.filter(F.col("p") == SUBCLASS).select("s", "o")
 
 
