@@ -1,55 +1,97 @@
 """Dictionary matching over documents: concepts, phrases, spans, evidence.
 
-Documents stay one row each; phrases are looked up by equi-join against the
-dictionary (AQE broadcasts it when it is small, so no token is shuffled), and
-only the matches are regrouped, per document line.
+Documents stay one row each.  Their distinct phrases and word sets are looked
+up by equi-join against the dictionary (planned as a broadcast where its table
+is small); only what is found is regrouped, as a small dictionary per document,
+and joined back to the text, where the choice among overlapping matches is
+made.  No token is shuffled, and a Python worker holds one document's tokens.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quadrille import model as m
 from quadrille.operators.paths import reach
-from quadrille.session import cut, spread
+from quadrille.session import cut, spread, stored
 
 SPAN_DISTANCE = 4
+ROW_BATCH = 10_000
 NAMING = [m.LABEL, m.SEE_ALSO, m.ALT]
 TOKENS = T.StructType([
     T.StructField("line", T.ArrayType(T.IntegerType())), T.StructField("start", T.ArrayType(T.IntegerType())),
     T.StructField("end", T.ArrayType(T.IntegerType())), T.StructField("norm", T.ArrayType(T.StringType()))])
 
+_SET = "\x1e"      # white space to the tokens, so in no word
+_INT, _TEXT, _LIST = ("int", pa.int32()), ("string", pa.string()), ("array<string>", pa.list_(pa.string()))
 _BREAKS = "\n\r\v\f\x85  "
 _TOKEN = re.compile(rf"[{_BREAKS}]|\w+(?:['’ʼ‘`´]\w+)*|[^\w\s]")
 _QUOTES = str.maketrans({c: "'" for c in "’ʼ‘`´"} | {c: '"' for c in "“”„«»"})
 
 
+def _token_lists(text: str | None) -> tuple[list, list, list, list]:
+    """Code point offsets of every word and punctuation mark, as parallel
+    lists line, start, end, norm; Spark's regex functions return no positions."""
+    lines, starts, ends, norms, line = [], [], [], [], 0
+    for hit in _TOKEN.finditer(text or ""):
+        word = hit.group()
+        if word in _BREAKS:
+            line += 1
+            continue
+        lines.append(line)
+        starts.append(hit.start())
+        ends.append(hit.end())
+        norms.append(word.lower().translate(_QUOTES))
+    return lines, starts, ends, norms
+
+
 @F.pandas_udf(TOKENS)
 def _tokens(texts: pd.Series) -> pd.DataFrame:
-    """Code point offsets of every word and punctuation mark, as parallel
-    lists; Spark's regex functions return no positions."""
-    rows = []
-    for text in texts:
-        lines, starts, ends, norms, line = [], [], [], [], 0
-        for hit in _TOKEN.finditer(text or ""):
-            word = hit.group()
-            if word in _BREAKS:
-                line += 1
-                continue
-            lines.append(line)
-            starts.append(hit.start())
-            ends.append(hit.end())
-            norms.append(word.lower().translate(_QUOTES))
-        rows.append((lines, starts, ends, norms))
-    return pd.DataFrame(rows, columns=["line", "start", "end", "norm"])
+    """Tokens of short texts: names and slices, not documents."""
+    return pd.DataFrame([_token_lists(t) for t in texts], columns=["line", "start", "end", "norm"])
 
 
 def tokenize(docs: DataFrame) -> DataFrame:
-    """(doc_id, tokens): tokens of the whole text with line and offsets."""
-    return spread(docs.select("doc_id", "text")).select("doc_id", _tokens("text").alias("tokens"))
+    """(doc_id, text), in enough tasks: each pass forms the tokens of a whole
+    text where it needs them."""
+    return spread(docs.select("doc_id", "text"))
+
+
+def _each_document(docs: DataFrame, rows: Callable[..., Iterator[tuple]], fields: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """``rows(...)`` of every document, called with the columns after doc_id.
+
+    ``fields`` are name to Spark and Arrow type.  Documents are taken out of a
+    batch one by one and rows leave in batches of ROW_BATCH.
+    """
+    schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *[f"`{n}` {kind}" for n, (kind, _) in fields.items()]])
+    names, kinds = ["doc_id", *fields], [k for _, k in fields.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, columns, out = batch.column(0), batch.columns[1:], []
+
+            def made() -> pa.RecordBatch:
+                arrays = [pa.array(values, kind) for values, kind in zip(zip(*out, strict=True), [ids.type, *kinds], strict=True)]
+                return pa.RecordBatch.from_arrays(arrays, names)
+
+            for i in range(batch.num_rows):
+                key = ids[i].as_py()
+                for row in rows(*[c[i].as_py() for c in columns]):
+                    out.append((key, *row))
+                    if len(out) >= ROW_BATCH:
+                        yield made()
+                        out.clear()
+            if out:
+                yield made()
+
+    return docs.mapInArrow(run, schema)
 
 
 # -- dictionary -------------------------------------------------------------
@@ -99,118 +141,186 @@ def span_rules(aliases: DataFrame) -> DataFrame:
 
 # -- phrase matching --------------------------------------------------------
 
-def phrase_hits(tokens: DataFrame, entries: DataFrame) -> DataFrame:
-    """Every dictionary phrase at every place, overlaps included:
-    ``(doc_id, line, first, length, start, end, key, canonical)``."""
-    entries = cut(entries)
+def _looked_up(docs: DataFrame, found: DataFrame, table: DataFrame) -> DataFrame:
+    """``docs`` with what ``table(key, ...)`` holds for the keys ``found``
+    ``(doc_id, key)`` in them, one list a column of ``table``; NULL if nothing."""
+    known = found.join(table, "key").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct(*table.columns)).alias("_f"))
+    lists = known.select("_id", *[F.col("_f")[c].alias(f"_{c}") for c in table.columns])
+    return docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+
+
+def _grams(text: str, lengths: list[int]) -> Iterator[tuple]:
+    """The distinct runs of tokens inside a line, of some lengths."""
+    lines, _, _, norms = _token_lists(text)
+    seen = set()
+    for i, line in enumerate(lines):
+        for n in lengths:
+            if i + n > len(lines) or lines[i + n - 1] != line:
+                break
+            seen.add(" ".join(norms[i:i + n]))
+    return ((key,) for key in seen)
+
+
+def _with_phrases(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_id, text, keys, names): the dictionary phrases that occur in each document."""
+    entries = stored(entries)      # a table has a size, so the planner can broadcast a small one
     lengths = sorted(r[0] for r in entries.select("length").distinct().collect())   # the few phrase lengths in use
-    longest = max(lengths, default=1)
-    # every token beside the ones that follow it, by zipping shifted lists
-    columns = []
-    for k in range(longest):
-        for f in ("norm", "line", "end") if k + 1 in lengths or k == 0 else ("norm",):
-            values = F.col(f"tokens.{f}")
-            columns.append((values if k == 0 else F.slice(values, k + 1, F.size(values))).alias(f"{f}{k}"))
-    columns.append(F.col("tokens.start").alias("start"))
-    rows = tokens.select("doc_id", F.posexplode(F.arrays_zip(*columns)).alias("i", "z")).select("doc_id", "i", "z.*")
-    grams = F.explode(F.array_compact(F.array(*[
-        F.when(F.col(f"line{n - 1}") == F.col("line0"), F.struct(
-            F.lit(n).alias("length"), F.col(f"end{n - 1}").alias("end"),
-            F.concat_ws(" ", *[f"norm{k}" for k in range(n)]).alias("key"))) for n in lengths])))
-    found = rows.select("doc_id", F.col("line0").alias("line"), (F.col("i") + 1).alias("first"), "start", grams.alias("g"))
-    return found.select("doc_id", "line", "first", "start", "g.*").join(entries.select("key", "length", "canonical"), ["key", "length"])
-
-
-def _keep_disjoint(found: Column) -> Column:
-    """Greedy choice in array order: keep what overlaps nothing kept before.
-    Elements have ``first`` and ``last`` token positions."""
-    empty = F.slice(found, 1, 0)
-    return F.aggregate(found, empty, lambda kept, x: F.when(
-        F.exists(kept, lambda y: (y["first"] <= x["last"]) & (x["first"] <= y["last"])), kept).otherwise(F.array_append(kept, x)))
+    found = _each_document(docs, lambda text: _grams(text, lengths), {"key": _TEXT})
+    return _looked_up(docs, found, entries.select("key", "canonical")).toDF("doc_id", "text", "keys", "names")
+
+
+def _chosen(tokens: tuple, names: dict[str, str]) -> list[tuple[int, int, str]]:
+    """Phrases (first token, length, key), longest first, then leftmost, without overlap inside a line."""
+    lines, _, _, norms = tokens
+    lengths = sorted({key.count(" ") + 1 for key in names})     # tokens hold no blanks
+    hits = []
+    for i, line in enumerate(lines):
+        for n in lengths:
+            if i + n > len(lines) or lines[i + n - 1] != line:
+                break
+            key = " ".join(norms[i:i + n])
+            if key in names:
+                hits.append((-n, i, key))
+    taken, kept = bytearray(len(lines)), []
+    for n, i, key in sorted(hits):
+        if 1 not in taken[i:i - n]:
+            taken[i:i - n] = b"\1" * -n
+            kept.append((i, -n, key))
+    return kept
 
 
 def match_exact(tokens: DataFrame, entries: DataFrame) -> DataFrame:
     """Phrase matches, longest first, without overlap inside a line:
-    ``(doc_id, line, first, last, start, end, key, canonical)``.
-
-    The regrouped list is bounded by the line's own tokens.
-    """
-    hits = phrase_hits(tokens, entries)
-    found = F.sort_array(F.collect_list(F.struct(
-        (-F.col("length")).alias("order"), F.col("first"), (F.col("first") + F.col("length") - 1).alias("last"),
-        "start", "end", "key", "canonical")))
-    lines = hits.groupBy("doc_id", "line").agg(found.alias("f"))
-    return lines.select("doc_id", "line", F.explode(_keep_disjoint(F.col("f"))).alias("x")).select("doc_id", "line", "x.*").drop("order")
-
-
-def canonical_stream(tokens: DataFrame, matches: DataFrame) -> DataFrame:
-    """Tokens after the exact swaps: ``(doc_id, line, place, start, end, norm,
-    swapped)``; a swapped phrase is one token with its canonical name."""
-    zipped = F.arrays_zip("tokens.line", "tokens.start", "tokens.end", "tokens.norm")
-    plain = tokens.select("doc_id", F.posexplode(zipped).alias("i", "t")).select(
-        "doc_id", F.col("t.line").alias("line"), (F.col("i") + 1).alias("first"), F.col("t.start").alias("start"),
-        F.col("t.end").alias("end"), F.col("t.norm").alias("norm"))
-    inside = matches.select("doc_id", F.explode(F.sequence("first", "last")).alias("first"))
-    plain = plain.join(inside, ["doc_id", "first"], "left_anti").withColumn("swapped", F.lit(False))
-    swapped = matches.select("doc_id", "line", "first", "start", "end", F.col("canonical").alias("norm"), F.lit(True).alias("swapped"))
-    stream = plain.select("doc_id", "line", "first", "start", "end", "norm", "swapped").unionByName(swapped)
-    items = F.sort_array(F.collect_list(F.struct("first", "start", "end", "norm", "swapped")))
-    lines = stream.groupBy("doc_id", "line").agg(items.alias("items"))
-    return lines.select("doc_id", "line", F.posexplode("items").alias("place", "x")).select(
-        "doc_id", "line", "place", F.col("x.start").alias("start"), F.col("x.end").alias("end"),
-        F.col("x.norm").alias("norm"), F.col("x.swapped").alias("swapped"))
-
-
-def match_spans(stream: DataFrame, rules: DataFrame, distance: int = SPAN_DISTANCE) -> DataFrame:
-    """Spans: all words of a rule in any order within ``distance`` positions
-    of one line; tightest first, without overlap.
-
-    ``(doc_id, line, first, last, start, end, canonical, rule, words)``.
-    """
-    words = rules.select("canonical", "rule", F.size("words").alias("need"), F.explode("words").alias("norm"))
-    seen = stream.join(words, "norm")
-    occ = F.sort_array(F.collect_list(F.struct("place", "start", "end", "norm")))
-    lines = seen.groupBy("doc_id", "line", "canonical", "rule", "need").agg(occ.alias("occ"))
-
-    def window(x: Column) -> Column:
-        near = F.filter("occ", lambda y: (y["place"] >= x["place"]) & (y["place"] <= x["place"] + distance))
-        # first sight of each word right of the anchor is its closest
-        firsts = F.filter(near, lambda y: ~F.exists(near, lambda z: (z["norm"] == y["norm"]) & (z["place"] < y["place"])))
-        return F.struct(F.size(firsts).alias("got"), (F.array_max(F.transform(firsts, lambda y: y["place"])) - x["place"]).alias("width"),
-                        x["place"].alias("first"), F.array_max(F.transform(firsts, lambda y: y["place"])).alias("last"),
-                        x["start"].alias("start"), F.array_max(F.transform(firsts, lambda y: y["end"])).alias("end"),
-                        F.transform(firsts, lambda y: y["norm"]).alias("words"))
-
-    found = lines.select("doc_id", "line", "canonical", "rule", "need", F.explode(F.transform("occ", window)).alias("w"))
-    found = found.filter(F.col("w.got") == F.col("need"))
-    item = F.struct("w.width", "w.first", "w.last", "w.start", "w.end", "canonical", "rule", "w.words")
-    per_line = found.groupBy("doc_id", "line").agg(F.sort_array(F.collect_list(item)).alias("f"))
-    return per_line.select("doc_id", "line", F.explode(_keep_disjoint(F.col("f"))).alias("x")).select("doc_id", "line", "x.*").drop("width")
-
-
-def match_nested(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
+    ``(doc_id, line, first, last, start, end, key, canonical)``."""
+
+    def rows(text: str, keys: list[str], names: list[str]) -> Iterator[tuple]:
+        canonical = dict(zip(keys, names, strict=True))
+        lines, starts, ends, _ = own = _token_lists(text)
+        for i, n, key in _chosen(own, canonical):
+            yield lines[i], i + 1, i + n, starts[i], ends[i + n - 1], key, canonical[key]
+
+    return _each_document(_with_phrases(tokens, entries).filter("keys IS NOT NULL"), rows, {
+        "line": _INT, "first": _INT, "last": _INT, "start": _INT, "end": _INT, "key": _TEXT, "canonical": _TEXT})
+
+
+# -- spans ------------------------------------------------------------------
+# A rule is met by an anchor and the words after it, so the sets of words that
+# follow an anchor closely enough are looked up, not the rules of each word:
+# a frequent word may be in any number of rules.
+
+def _stream(tokens: tuple, chosen: list[tuple[int, int, str]], names: dict[str, str]) -> dict[int, list[tuple[int, int, str]]]:
+    """Tokens after the exact swaps, per line: (start, end, norm); a swapped
+    phrase is one token with its canonical name."""
+    lines, starts, ends, norms = tokens
+    swaps, out, i = {first: (n, key) for first, n, key in chosen}, {}, 0
+    while i < len(lines):
+        n, key = swaps.get(i, (1, None))
+        out.setdefault(lines[i], []).append((starts[i], ends[i + n - 1], norms[i] if key is None else names[key]))
+        i += n
+    return out
+
+
+def _windows(items: list[tuple[int, int, str]], sizes: list[int], distance: int) -> Iterator[tuple[str, list[int]]]:
+    """Word sets of each anchor and of first sights of other words within
+    ``distance`` places after it: (key of the set, places)."""
+    for a in range(len(items)):
+        firsts, seen = [], set()
+        for b in range(a, min(a + distance + 1, len(items))):
+            if items[b][2] not in seen:
+                seen.add(items[b][2])
+                firsts.append(b)
+        for n in sizes:
+            for others in combinations(firsts[1:], n - 1):
+                places = [a, *others]
+                yield _SET.join([str(n), *sorted(items[b][2] for b in places)]), places
+
+
+def _with_rules(docs: DataFrame, rules: DataFrame, distance: int) -> DataFrame:
+    """Adds (sets, canonicals, rules, needs): the first rule of each word set
+    that occurs closely enough in a document; of several rules with the same
+    words only the first can keep a place."""
+    n = F.size("words")
+    key = F.concat_ws(_SET, n.cast("string"), F.array_sort("words"))
+    best = rules.filter(n <= distance + 1).groupBy(key.alias("key"), n.alias("n")).agg(F.min(F.struct("canonical", "rule")).alias("b"))
+    best = stored(best.select("key", "n", "b.canonical", "b.rule"))
+    sizes = sorted(r[0] for r in best.select("n").distinct().collect())     # at most distance
+
+    def rows(text: str, keys: list[str] | None, names: list[str] | None) -> Iterator[tuple]:
+        known = dict(zip(keys or [], names or [], strict=True))
+        own = _token_lists(text)
+        lines = _stream(own, _chosen(own, known), known)
+        return ((key,) for key in {key for items in lines.values() for key, _ in _windows(items, sizes, distance)})
+
+    out = _looked_up(docs, _each_document(docs, rows, {"key": _TEXT}), best.select("key", "canonical", "rule"))
+    return out.toDF("doc_id", "text", "keys", "names", "sets", "canonicals", "rules")
+
+
+def _line_spans(items: list, known: dict[str, tuple[str, str]], distance: int) -> list[tuple]:
+    """Spans (start, end, canonical, words) of one line: all words of a rule
+    in any order within ``distance`` places; tightest first, without overlap."""
+    sizes = sorted({int(key.split(_SET, 1)[0]) for key in known})
+    found = []
+    for key, places in _windows(items, sizes, distance):
+        if key in known:
+            first, last = places[0], places[-1]
+            found.append((last - first, first, last, items[first][0], items[last][1], *known[key], [items[b][2] for b in places]))
+    taken, kept = bytearray(len(items)), []
+    for _, first, last, start, end, canonical, _, words in sorted(found):
+        if 1 not in taken[first:last + 1]:
+            taken[first:last + 1] = b"\1" * (last + 1 - first)
+            kept.append((start, end, canonical, words))
+    return sorted(kept)
+
+
+def _nested(docs: DataFrame, aliases: DataFrame, distance: int, out: Callable, fields: dict) -> DataFrame:
+    """``out(line, text, exact, spans)`` of every line with a match; ``exact``
+    are (start, end, canonical, key), ``spans`` lie in order."""
+    ready = _with_rules(_with_phrases(docs, phrases(aliases)), span_rules(aliases), distance)
+
+    def rows(text: str, keys: list | None, names: list | None, sets: list | None, canonicals: list | None, rules: list | None) -> Iterator[tuple]:
+        known = dict(zip(keys or [], names or [], strict=True))
+        named = dict(zip(sets or [], zip(canonicals or [], rules or [], strict=True), strict=True))
+        lines, starts, ends, _ = own = _token_lists(text)
+        chosen = _chosen(own, known)
+        exact: dict[int, list] = {}
+        for i, n, key in chosen:
+            exact.setdefault(lines[i], []).append((starts[i], ends[i + n - 1], known[key], key))
+        for line, items in _stream(own, chosen, known).items():
+            yield from out(line, text, exact.get(line, []), _line_spans(items, named, distance) if named else [])
+
+    return _each_document(ready.filter("keys IS NOT NULL OR sets IS NOT NULL"), rows, fields)
+
+
+def _around(start: int, end: int, spans: list[tuple], starts: list[int]) -> tuple | None:
+    """The span that covers a place; spans of a line do not overlap."""
+    at = bisect_right(starts, start) - 1
+    return spans[at] if at >= 0 and end <= spans[at][1] else None
+
+
+def match_nested(tokens: DataFrame, aliases: DataFrame, distance: int = SPAN_DISTANCE, slices: bool = False) -> DataFrame:
     """Exact phrases, then spans over the canonical stream; both methods in
-    one table ``(doc_id, line, start, end, canonical, method, words)``."""
-    exact = cut(match_exact(tokens, phrases(aliases)))
-    spans = match_spans(cut(canonical_stream(tokens, exact)), span_rules(aliases))
-    spans = cut(spans.select("doc_id", "line", "start", "end", "canonical", F.lit("spans").alias("method"), "words"))
-    # a phrase inside a span is covered by it
-    outer = spans.select("doc_id", "line", F.col("start").alias("_a"), F.col("end").alias("_b"))
-    plain = exact.select("doc_id", "line", "start", "end", "canonical", F.lit("exact").alias("method"), F.split("key", " ").alias("words"))
-    same_line = ["doc_id", "line"]
-    covered = (plain.join(outer, same_line).filter((F.col("start") >= F.col("_a")) & (F.col("end") <= F.col("_b")))
-               .select("doc_id", "line", "start", "end").distinct())
-    return plain.join(covered, ["doc_id", "line", "start", "end"], "left_anti").unionByName(spans)
-
-
-def covered_matches(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
+    one table ``(doc_id, line, start, end, canonical, method, words)``, with
+    ``slices`` also the ``slice`` of the text."""
+
+    def out(line: int, text: str, exact: list, spans: list) -> Iterator[tuple]:
+        at = [x[0] for x in spans]
+        rows = [(a, b, name, "exact", key.split(" ")) for a, b, name, key in exact if not _around(a, b, spans, at)]  # else covered by it
+        for a, b, name, method, words in rows + [(a, b, name, "spans", words) for a, b, name, words in spans]:
+            yield line, a, b, name, method, words, *([text[a:b]] if slices else [])
+
+    return _nested(tokens, aliases, distance, out, {
+        "line": _INT, "start": _INT, "end": _INT, "canonical": _TEXT, "method": _TEXT, "words": _LIST, **({"slice": _TEXT} if slices else {})})
+
+
+def covered_matches(tokens: DataFrame, aliases: DataFrame, distance: int = SPAN_DISTANCE) -> DataFrame:
     """(doc_id, start, end, covered): canonical names a span swallowed."""
-    exact = cut(match_exact(tokens, phrases(aliases)))
-    spans = cut(match_spans(cut(canonical_stream(tokens, exact)), span_rules(aliases)))
-    inner = exact.select("doc_id", "line", F.col("start").alias("_a"), F.col("end").alias("_b"), F.col("canonical").alias("covered"))
-    rows = spans.select("doc_id", "line", "start", "end", "canonical").join(inner, ["doc_id", "line"])
-    rows = rows.filter((F.col("_a") >= F.col("start")) & (F.col("_b") <= F.col("end")) & (F.col("covered") != F.col("canonical")))
-    return rows.select("doc_id", "start", "end", "covered").distinct()
+
+    def out(line: int, text: str, exact: list, spans: list) -> Iterator[tuple]:
+        at = [x[0] for x in spans]
+        outer = ((_around(a, b, spans, at), name) for a, b, name, _ in exact)
+        return iter({(span[0], span[1], name) for span, name in outer if span and name != span[2]})
+
+    return _nested(tokens, aliases, distance, out, {"start": _INT, "end": _INT, "covered": _TEXT}).distinct()
 
 
 # -- evidence ---------------------------------------------------------------
@@ -218,10 +328,11 @@ def covered_matches(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
 def span_offsets(matches: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds the matched slice of the text and whether it really holds the
     matched words; ordered by start, widest first."""
-    rows = matches.join(docs.select("doc_id", "text"), "doc_id")
-    piece = F.substr(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    found = _tokens(piece)["norm"]
-    rows = rows.withColumn("slice", piece).withColumn("_found", found)
+    rows, found = matches, _tokens(F.col("slice"))["norm"]
+    if "slice" not in matches.columns:      # else the matches bring it along
+        piece = F.substr(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+        rows = matches.join(docs.select("doc_id", "text"), "doc_id").withColumn("slice", piece)
+    rows = rows.withColumn("_found", found)
     sound = F.when(F.col("method") == "exact", F.col("_found") == F.col("words")).otherwise(F.size("_found") > 0)
     return rows.withColumn("sound", (F.col("start") < F.col("end")) & sound).drop("text", "_found")
 
