@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from quadrille import model as m
 from quadrille.operators import reachability
 from quadrille.operators.aggregates import sample_terms
-from quadrille.operators.paths import graph_nodes, inv, reach
-from quadrille.session import cut, global_index
+from quadrille.operators.paths import graph_nodes, inv, reach, reached
+from quadrille.session import cut, global_index, shuffled
 
 
 def descendant_counts(parents: DataFrame) -> DataFrame:
@@ -24,14 +24,14 @@ def ancestry_trail(parents: DataFrame, iris: DataFrame, max_depth: int | None =
     stage, root)``.  Roots share one last stage."""
     named = parents.filter(~m.is_bnode(F.col("dst"))).select("src", "dst").distinct()
     up = reach(named, iris.select(F.col("iri").alias("start")), max_depth).filter(F.col("start") != F.col("node"))
-    tops = up.join(named, F.col("node") == F.col("src"), "left_anti").select("start", "node", F.lit(True).alias("root"))
-    rows = up.join(tops, ["start", "node"], "left").withColumn("root", F.coalesce("root", F.lit(False)))
+    inner = named.select(F.col("src").alias("node"), F.lit(False).alias("root")).distinct()
+    rows = up.join(shuffled(inner), "node", "left").withColumn("root", F.coalesce("root", F.lit(True)))
     # empty stages close up: dense rank of the distances that hold non-roots
     stages = rows.filter("not root").select("start", "distance").distinct()
     w = W.partitionBy("start").orderBy("distance")
     stages = stages.withColumn("stage", F.row_number().over(w))
     last = stages.groupBy("start").agg(F.max("stage").alias("last"))
-    out = rows.join(stages, ["start", "distance"], "left").join(last, "start", "left")
+    out = rows.join(shuffled(stages), ["start", "distance"], "left").join(shuffled(last), "start", "left")
     stage = F.when(F.col("root"), F.coalesce("last", F.lit(0)) + 1).otherwise(F.col("stage"))
     return out.select(F.col("start").alias("iri"), F.col("node").alias("ancestor"),
                       "distance", stage.alias("stage"), "root")
@@ -97,20 +97,39 @@ def branch_members(parents: DataFrame, root: str, classes: DataFrame | None = No
 
 def branch_roots(parents: DataFrame, chosen: DataFrame) -> DataFrame:
     """Chosen classes without a chosen ancestor."""
-    own = chosen.select("iri").distinct()
-    up = reach(parents, own.select(F.col("iri").alias("start"))).filter(F.col("start") != F.col("node"))
-    covered = up.join(own, F.col("node") == F.col("iri"), "left_semi").select(F.col("start").alias("iri"))
-    return own.join(covered, "iri", "left_anti")
+    # two chosen ancestors of a node tell whether one is another than itself,
+    # so no more are handed down and no pairs are listed
+    own = cut(chosen.select("iri").distinct())
+    step = cut(parents.select(F.col("dst").alias("_at"), F.col("src").alias("node")).distinct())
+    state = cut(own.select(F.lit(None).cast("string").alias("node"), F.col("iri").alias("a"), F.col("iri").alias("b")).limit(0))
+    frontier = own.select(F.col("iri").alias("_at"), F.col("iri").alias("up"))
+    while True:
+        met = step.join(shuffled(frontier), "_at").groupBy("node").agg(F.min("up").alias("lo"), F.max("up").alias("hi"))
+        old = met.join(shuffled(state), "node", "left").filter("a IS NULL OR a = b AND (lo <> a OR hi <> a)")
+        fresh = cut(old.select("node", F.array_except(F.array_distinct(F.array("lo", "hi")), F.array_compact(F.array("a"))).alias("new"), "a"))
+        if fresh.isEmpty():
+            break
+        # a second ancestor beside one that is known: the first new one will do
+        fresh = fresh.withColumn("new", F.when(F.col("a").isNotNull(), F.slice("new", 1, 1)).otherwise(F.col("new")))
+        both = state.unionByName(fresh.select("node", F.array_min("new").alias("a"), F.array_max("new").alias("b")))
+        state = cut(both.groupBy("node").agg(F.min("a").alias("a"), F.max("b").alias("b")))
+        frontier = fresh.select(F.col("node").alias("_at"), F.explode("new").alias("up"))
+    covered = state.filter("a <> node OR b <> node").select(F.col("node").alias("iri"))
+    return own.join(shuffled(covered), "iri", "left_anti")
 
 
 def check_moves(parents: DataFrame, classes: DataFrame, moves: DataFrame) -> DataFrame:
     """Reason why each move ``(iri, parent)`` is refused, NULL when allowed."""
-    up = reach(parents, moves.select(F.col("parent").alias("start")))
+    # only what has a moved class above itself can lead to one
+    targets = cut(moves.select(F.col("iri").alias("start")).distinct())
+    inside = reached(inv(parents), targets).unionByName(targets.select(F.col("start").alias("node"))).distinct()
+    below = parents.join(shuffled(inside), F.col("dst") == F.col("node"), "left_semi")
+    up = reach(below, moves.select(F.col("parent").alias("start")))
     cycle = up.select(F.col("start").alias("parent"), F.col("node").alias("iri"), F.lit(True).alias("_cycle"))
     known = classes.select("iri").distinct()
-    out = (moves.join(known.withColumn("_a", F.lit(True)), "iri", "left")
-           .join(known.select(F.col("iri").alias("parent"), F.lit(True).alias("_b")), "parent", "left")
-           .join(cycle, ["parent", "iri"], "left"))
+    out = (moves.join(shuffled(known.withColumn("_a", F.lit(True))), "iri", "left")
+           .join(shuffled(known.select(F.col("iri").alias("parent"), F.lit(True).alias("_b"))), "parent", "left")
+           .join(shuffled(cycle), ["parent", "iri"], "left"))
     reason = (F.when(F.col("_a").isNull() | F.col("_b").isNull(), "missing class")
               .when(F.col("iri") == m.THING, "root cannot move")
               .when(F.col("iri") == F.col("parent"), "own parent")
@@ -265,9 +284,9 @@ def class_context(parents: DataFrame, instances: DataFrame, iri: str) -> DataFra
     up = cut(reach(edges, seed).filter(F.col("node") != iri).select(F.col("node").alias("iri"), F.col("distance").alias("depth")))
     down = cut(reach(inv(edges), seed).filter(F.col("node") != iri).select(F.col("node").alias("iri"), F.col("distance").alias("depth")))
     self_row = seed.select(F.col("start").alias("iri"), F.lit(0).alias("depth"))
-    tops = up.unionAll(self_row).join(edges, F.col("iri") == F.col("src"), "left_anti")
+    tops = up.unionAll(self_row).join(shuffled(edges), F.col("iri") == F.col("src"), "left_anti")
     classes = down.unionAll(self_row).select(F.col("iri").alias("class"))
-    inst = instances.join(classes, "class", "left_semi").select("iri").distinct().withColumn("depth", F.lit(0))
+    inst = instances.join(shuffled(classes), "class", "left_semi").select("iri").distinct().withColumn("depth", F.lit(0))
 
     def role(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.lit(name).alias("role"), "iri", "depth")
