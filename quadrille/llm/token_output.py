@@ -45,7 +45,7 @@ BLOCK_SCHEMA = ("shard long, block long, dictionary string, id_bytes int, doc_id
 #: at the edges of white space: byte-level pre-tokens never cross these places.
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: characters that libraries class differently as white space, and special tokens: encoded whole
-ODD = re.compile(r"[\x1c-\x1f\x85]|<\|")
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
 
 
 #: a chunk of one word, maybe with marks after it: two pre-tokens at most
@@ -77,10 +77,12 @@ class Encoder(dict):
         kind = type(self.tokenizer.pre_tokenizer).__name__, type(self.tokenizer.model).__name__, self.tokenizer.normalizer
         if kind != ("ByteLevel", "BPE", None):
             raise ValueError(f"a byte-level BPE file is needed, not {kind}")
+        self.tokenize = self.tokenizer.model.tokenize
 
     def _model(self, pre_token: str) -> bytes:
-        letters = pre_token.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        # printable ASCII stands for itself, so in plain words only the blank changes
+        letters = pre_token.replace(" ", self.letters[32]) if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -90,7 +92,8 @@ class Encoder(dict):
             word, marks = m.groups()
             if marks not in self.marks:
                 self.marks[marks] = self._model(marks)
-            ids = (self._model(word) if word else b"") + self.marks[marks]
+            # the word may be known without its marks
+            ids = (((marks and self.get(word)) or self._model(word)) if word else b"") + self.marks[marks]
         else:
             ids = self._whole(chunk)
         self[chunk] = ids
@@ -102,7 +105,7 @@ class Encoder(dict):
         if len(self) + len(self.marks) > MEMO_ENTRIES:
             self.clear()
             self.marks = {"": b""}
-        if ODD.search(text):
+        if any(odd in text for odd in ODD):
             return self._whole(text)
         return b"".join(map(self.__getitem__, CHUNK.findall(text)))
 
