@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from quadrille import model as m
 from quadrille.functions import text as tx, vectors as vec
 from quadrille.operators.paths import ancestry_subgraph
-from quadrille.session import cut, group_index
+from quadrille.session import cut, group_index, stored
 
 # Words ignored in queries, field boosts, weights and limits.
 STOP_WORDS = ["and", "of", "the", "for", "in", "to", "a", "an", "on", "with"]
@@ -34,6 +34,11 @@ def search_fields(quads: DataFrame, names: DataFrame, own_namespace: str = "") -
 
     ``names(iri, name)`` is the display name of every entity.
     """
+    return field_rows(quads, names, own_namespace).distinct()
+
+
+def field_rows(quads: DataFrame, names: DataFrame, own_namespace: str = "") -> DataFrame:
+    """``search_fields`` in which a row may stand twice, for uses that count none."""
     named = names.filter(~m.is_bnode(F.col("iri")))
     iri, local = F.col("iri"), tx.local_name(F.col("iri"))
     ids = F.array_distinct(F.array(local, tx.compact_iri(iri, own_namespace), iri))
@@ -41,23 +46,31 @@ def search_fields(quads: DataFrame, names: DataFrame, own_namespace: str = "") -
         F.array_prepend(F.transform(ids, lambda v: F.struct(F.lit("$iri").alias("field"), v.alias("value"))),
                         F.struct(F.lit("$label").alias("field"), F.col("name").alias("value"))),
         F.struct(F.lit("$local").alias("field"), local.alias("value")))).alias("f")).select("iri", "f.*")
-    rows = quads.filter(~m.is_bnode(F.col("s"))).join(named.select(F.col("iri").alias("s"), F.col("name").alias("_own")), "s", "left")
-    literals = rows.filter(m.is_literal())
+    literals = quads.filter(~m.is_bnode(F.col("s")) & m.is_literal())
     plain = literals.select(F.col("s").alias("iri"), F.col("p").alias("field"), F.col("o").alias("value"))
-    alias = literals.filter(F.col("p").isin(ALIAS_PREDICATES) & ~F.col("o").eqNullSafe(F.col("_own"))).select(
+    alias = literals.filter(F.col("p").isin(ALIAS_PREDICATES)).join(
+        named.select(F.col("iri").alias("s"), F.col("name").alias("_own")), "s", "left").filter(~F.col("o").eqNullSafe(F.col("_own"))).select(
         F.col("s").alias("iri"), F.lit("$alias").alias("field"), F.col("o").alias("value"))
     linked = quads.filter(m.is_resource() & ~m.is_bnode(F.col("s"))).join(
         names.select(F.col("iri").alias("o"), F.col("name").alias("_n")), "o", "left")
     shown = F.explode(F.array_distinct(F.array_compact(F.array(
         F.col("_n"), tx.compact_iri(F.col("o"), own_namespace), F.col("o")))))
     linked = linked.select(F.col("s").alias("iri"), F.col("p").alias("field"), shown.alias("value"))
-    return own.unionByName(plain).unionByName(alias).unionByName(linked).filter(F.trim("value") != "").distinct()
+    return own.unionByName(plain).unionByName(alias).unionByName(linked).filter(F.trim("value") != "")
+
+
+def _words(ascii_only: bool) -> Column:
+    return F.filter(F.split(tx.normalize_search(F.col("value"), ascii_only), " "), lambda w: w != "")
+
+
+def field_words(fields: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """(iri, field, value, words): the distinct words of every field, for writing."""
+    return fields.select("iri", "field", "value", F.array_distinct(_words(ascii_only)).alias("words"))
 
 
 def postings(fields: DataFrame, ascii_only: bool = False) -> DataFrame:
     """(token, iri, field, tf, length) for writing partitioned by token hash."""
-    words = F.filter(F.split(tx.normalize_search(F.col("value"), ascii_only), " "), lambda w: w != "")
-    rows = fields.select("iri", "field", words.alias("w"))
+    rows = fields.select("iri", "field", _words(ascii_only).alias("w"))
     counts = rows.select("iri", "field", F.explode("w").alias("token")).groupBy("token", "iri", "field").agg(
         F.count(F.lit(1)).alias("tf"))
     sizes = rows.groupBy("iri", "field").agg(F.sum(F.size("w")).alias("length"))
@@ -102,8 +115,9 @@ def match_terms(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     candidates share a deletion variant and are verified by edit distance, so
     the result equals a full comparison.
     """
-    asked = cut(tokens.select("token").distinct())
-    terms = vocabulary.select("term").distinct()
+    # tables of known size, read by each of the three ways
+    asked = stored(tokens.select("token").distinct())
+    terms = stored(vocabulary.select("term").distinct())
     # only prefixes as long as some token; a subquery may not sit inside a lambda
     sizes = asked.agg(F.collect_set(F.length("token"))).scalar()
     prefix = F.explode(F.transform(F.filter("_sizes", lambda n: (n > 0) & (n <= F.length("term"))), lambda n: F.substr(F.col("term"), F.lit(1), n)))
@@ -143,20 +157,56 @@ def lexical_score(tokens: DataFrame, matches: DataFrame, index: DataFrame,
         F.sum("s").alias("score"), F.count(F.lit(1)).alias("coverage"), F.max("precise").alias("precise"))
 
 
-def rank_lexical(scores: DataFrame, tokens: DataFrame, names: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """Adds tier (4 exact name, 3 name prefix, 2 precise, 1 fuzzy) and rank."""
-    plain = tokens.groupBy("qid").agg(F.first("norm").alias("norm"), F.first("content").alias("content"))
-    own = tx.normalize_search(F.col("name"), ascii_only)
+def _query_texts(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("qid").agg(F.first("norm").alias("norm"), F.first("content").alias("content"))
+
+
+def _tier() -> Column:
+    """From ``own``, an entity's normalised name, ``norm``, ``content`` and ``precise``."""
     words = F.array_except(F.split(F.col("own"), " "), F.array(*[F.lit(w) for w in STOP_WORDS]))
     bare = F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(F.col("own"))
-    rows = scores.join(names.select("iri", "name", own.alias("own")), "iri").join(plain, "qid")
-    tier = (F.when(F.col("own") == F.col("norm"), 4)
+    return (F.when(F.col("own") == F.col("norm"), 4)
             .when(F.col("own").startswith(F.col("norm")) | bare.startswith(F.col("content")), 3)
             .when(F.col("precise"), 2).otherwise(1))
-    rows = rows.withColumn("tier", tier).drop("own", "norm", "content", "precise")
+
+
+def rank_lexical(scores: DataFrame, tokens: DataFrame, names: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """Adds tier (4 exact name, 3 name prefix, 2 precise, 1 fuzzy) and rank."""
+    own = tx.normalize_search(F.col("name"), ascii_only)
+    rows = scores.join(names.select("iri", "name", own.alias("own")), "iri").join(_query_texts(tokens), "qid")
+    rows = rows.withColumn("tier", _tier()).drop("own", "norm", "content", "precise")
     return group_index(rows, ["qid"], [F.desc("tier"), F.desc("coverage"), F.desc("score"), F.lower("name"), F.col("iri")], "rank")
 
 
+# -- hits by groups of entities ---------------------------------------------
+# Queries of few words over many entities have far more hits than there are
+# ways to match: entities that the same query words match in the same way are
+# one group, and only groups are met with the queries.
+
+def found_words(matches: DataFrame, words: DataFrame) -> DataFrame:
+    """(iri, field, value, token, how): the fields of ``field_words`` in which a
+    term stands that matches a query word."""
+    rows = words.select("iri", "field", "value", F.explode("words").alias("term"))
+    return rows.join(matches.select("term", "token", "how"), "term").select("iri", "field", "value", "token", "how")
+
+
+def hit_groups(tokens: DataFrame, per: DataFrame, entities: DataFrame) -> DataFrame:
+    """(qid, marks, n, further columns of ``entities``): how many entities a query hits in one way.
+
+    ``per(iri, token, mark)`` says how a query word matches an entity, and
+    ``marks`` holds the (token, mark) of one query; ``entities(iri, ...)`` has a
+    row per entity.
+    """
+    further = [c for c in entities.columns if c != "iri"]
+    ways = per.groupBy("iri").agg(F.array_sort(F.collect_set(F.struct("token", "mark"))).alias("marks"))
+    groups = ways.join(entities, "iri").groupBy("marks", *further).agg(F.count(F.lit(1)).alias("n"))
+    groups = stored(groups.withColumn("_group", F.monotonically_increasing_id()))
+    met = groups.select("_group", F.explode("marks").alias("m")).join(
+        tokens.select("qid", F.col("token").alias("_token")), F.col("m.token") == F.col("_token"))
+    met = met.groupBy("qid", "_group").agg(F.collect_set("m").alias("marks"))
+    return met.join(groups.drop("marks"), "_group").groupBy("qid", F.array_sort("marks").alias("marks"), *further).agg(F.sum("n").alias("n"))
+
+
 # -- semantic side ----------------------------------------------------------
 
 def semantic_candidates(vectors: DataFrame, query: Column, minimum: float = SEMANTIC_MINIMUM) -> DataFrame:
@@ -208,8 +258,9 @@ def sort_results(hits: DataFrame, by: str = "relevance") -> DataFrame:
     return hits.orderBy(*order, F.col("iri"))
 
 
-def kind_facets(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("qid", category(F.col("kind")).alias("category")).agg(F.count(F.lit(1)).alias("hits"))
+def kind_facets(groups: DataFrame) -> DataFrame:
+    """Hits per category of ``field_groups``."""
+    return groups.groupBy("qid", "category").agg(F.sum("n").alias("hits"))
 
 
 def public_field(field: Column) -> Column:
@@ -217,29 +268,38 @@ def public_field(field: Column) -> Column:
 
 
 def field_hits(tokens: DataFrame, matches: DataFrame, index: DataFrame) -> DataFrame:
-    """(qid, iri, field): every public field in which an entity matched."""
+    """(qid, iri, field): every public field in which an entity matched, listed; to count, see ``field_groups``."""
     hits = matches.select("token", "term").join(index.withColumnRenamed("token", "term"), "term")
     per = hits.select("token", "iri", public_field(F.col("field")).alias("field")).distinct()
     return tokens.select("qid", "token").join(per, "token").select("qid", "iri", "field").distinct()
 
 
-def field_facets(hits: DataFrame, kinds: DataFrame, selected: list[str]) -> DataFrame:
+def field_groups(tokens: DataFrame, found: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(qid, fields, category, n): how many entities of a category each query
+    hits in just these public fields."""
+    per = found.select("iri", "token", public_field(F.col("field")).alias("mark"))
+    groups = hit_groups(tokens, per, kinds.select("iri", category(F.col("kind")).alias("category")))
+    fields = F.array_sort(F.array_distinct(F.transform("marks", lambda x: x["mark"])))
+    return groups.groupBy("qid", fields.alias("fields"), "category").agg(F.sum("n").alias("n"))
+
+
+def field_facets(groups: DataFrame, selected: list[str]) -> DataFrame:
     """Hits per field within the selected categories, whatever fields are on."""
-    rows = hits.join(kinds, "iri").filter(category(F.col("kind")).isin(selected))
-    return rows.groupBy("qid", "field").agg(F.countDistinct("iri").alias("hits"))
+    rows = groups.filter(F.col("category").isin(selected)).select("qid", "n", F.explode("fields").alias("field"))
+    return rows.groupBy("qid", "field").agg(F.sum("n").alias("hits"))
 
 
-def remedies(hits: DataFrame, kinds: DataFrame, fields: list[str], selected: list[str]) -> DataFrame:
+def remedies(groups: DataFrame, fields: list[str], selected: list[str]) -> DataFrame:
     """Per query: hits now, with all fields, with all types, with both; and
     whether an empty result is due to the filters or to the query."""
-    rows = hits.join(kinds, "iri")
-    in_field, in_kind = F.col("field").isin(fields), category(F.col("kind")).isin(selected)
+    in_field = F.exists("fields", lambda f: f.isin(fields))
+    in_kind = F.col("category").isin(selected)
 
-    def distinct(c: Column) -> Column:
-        return F.countDistinct(F.when(c, F.col("iri")))
+    def counted(c: Column) -> Column:
+        return F.sum(F.when(c, F.col("n")).otherwise(0))
 
-    out = rows.groupBy("qid").agg(distinct(in_field & in_kind).alias("now"), distinct(in_kind).alias("all_fields"),
-                                  distinct(in_field).alias("all_types"), F.countDistinct("iri").alias("reset"))
+    out = groups.groupBy("qid").agg(counted(in_field & in_kind).alias("now"), counted(in_kind).alias("all_fields"),
+                                    counted(in_field).alias("all_types"), F.sum("n").alias("reset"))
     return out.withColumn("empty_cause", F.when(F.col("now") > 0, F.lit(None).cast("string"))
                           .when(F.col("all_types") > 0, "filters").otherwise("query"))
 
