@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from quadrille import model as m
 from quadrille.functions import text as tx, vectors as vec
@@ -178,6 +178,20 @@ def rank_lexical(scores: DataFrame, tokens: DataFrame, names: DataFrame, ascii_o
     return group_index(rows, ["qid"], [F.desc("tier"), F.desc("coverage"), F.desc("score"), F.lower("name"), F.col("iri")], "rank")
 
 
+def tier_ranks(tokens: DataFrame, found: DataFrame, names: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """(qid, tier, coverage, n, first_rank, last_rank): the hits of each tier and
+    coverage and the ranks that ``rank_lexical`` gives them.
+
+    Its order begins with tier and coverage, so the ranks follow from counts.
+    """
+    per = found.groupBy("iri", "token").agg(F.max(F.col("how").isin("exact", "prefix")).alias("mark"))
+    groups = hit_groups(tokens, per, names.select("iri", tx.normalize_search(F.col("name"), ascii_only).alias("own")))
+    rows = groups.withColumn("precise", F.exists("marks", lambda x: x["mark"])).withColumn("coverage", F.size("marks").cast("long"))
+    counts = rows.join(_query_texts(tokens), "qid").groupBy("qid", _tier().alias("tier"), "coverage").agg(F.sum("n").alias("n"))
+    last = F.sum("n").over(W.partitionBy("qid").orderBy(F.desc("tier"), F.desc("coverage")))
+    return counts.withColumn("last_rank", last).withColumn("first_rank", F.col("last_rank") - F.col("n") + 1)
+
+
 # -- hits by groups of entities ---------------------------------------------
 # Queries of few words over many entities have far more hits than there are
 # ways to match: entities that the same query words match in the same way are
