@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from quadrille import model as m
 from quadrille.functions import text as tx, vectors as vec
 from quadrille.operators.paths import ancestry_subgraph
-from quadrille.session import cut, group_index, stored
+from quadrille.session import cut, group_index, shuffled, stored
 
 # Words ignored in queries, field boosts, weights and limits.
 STOP_WORDS = ["and", "of", "the", "for", "in", "to", "a", "an", "on", "with"]
@@ -332,17 +332,23 @@ def scope_filter(entities: DataFrame, instances: DataFrame | None = None, only:
 FIELD_ORDER = ["$label", "$alias", "$local", "$iri"]
 
 
-def match_evidence(hits: DataFrame, tokens: DataFrame, matches: DataFrame, index: DataFrame, fields: DataFrame,
-                   ascii_only: bool = False) -> DataFrame:
-    """(qid, iri, field, value): the first field that matched and its value."""
-    per = matches.select("token", "term").join(index.withColumnRenamed("token", "term"), "term").select("token", "term", "iri", "field")
-    rows = tokens.select("qid", "token").join(per, "token").join(hits.select("qid", "iri"), ["qid", "iri"], "left_semi")
+def match_evidence(tokens: DataFrame, found: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """(qid, iri, field, value): the first field that matched and its value, of
+    every hit or of ``hits(qid, iri)``.
+
+    The words that match an entity are put in the order of their best fields
+    once; a query takes the first one that it has, found once per order.
+    """
     rank = F.coalesce(F.create_map(*[F.lit(x) for i, f in enumerate(FIELD_ORDER) for x in (f, i)])[F.col("field")], F.lit(len(FIELD_ORDER)))
-    norm = F.concat(F.lit(" "), tx.normalize_search(F.col("value"), ascii_only), F.lit(" "))
-    valued = rows.join(fields.select("iri", "field", "value", norm.alias("_n")), ["iri", "field"])
-    valued = valued.filter(F.col("_n").contains(F.concat(F.lit(" "), F.col("term"), F.lit(" "))))
-    best = F.min(F.struct(rank.alias("r"), "field", "value"))
-    return valued.groupBy("qid", "iri").agg(best.alias("b")).select("qid", "iri", public_field(F.col("b.field")).alias("field"), "b.value")
+    best = found.groupBy("iri", "token").agg(F.min(F.struct(rank.alias("r"), "field", "value")).alias("b"))
+    ways = best.groupBy("iri").agg(F.array_sort(F.collect_list(F.struct("b", "token"))).alias("best"))
+    ways = stored(ways.select("iri", F.transform("best", lambda x: x["b"]).alias("best"), F.transform("best", lambda x: x["token"]).alias("words")))
+    orders = ways.select("words").distinct().select("words", F.posexplode("words").alias("at", "token"))
+    first = orders.join(tokens.select("qid", "token"), "token").groupBy("words", "qid").agg(F.min("at").alias("at"))
+    out = ways.join(shuffled(first), "words").select("qid", "iri", F.get("best", F.col("at")).alias("b"))
+    if hits is not None:
+        out = out.join(hits.select("qid", "iri"), ["qid", "iri"], "left_semi")
+    return out.select("qid", "iri", public_field(F.col("b.field")).alias("field"), "b.value")
 
 
 def compare(query: Column, texts: DataFrame) -> DataFrame:
