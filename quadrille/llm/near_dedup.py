@@ -207,7 +207,7 @@ def _links(reps: DataFrame, docs: DataFrame, b: Banding) -> DataFrame:
     sets = written(docs.join(members, "doc_id").mapInPandas(_sets(b), "id long, members binary"), "near-sets")
 
     hub_sizes = stars.select(F.col("id").alias("hub"), F.col("n").alias("other_n")).distinct()
-    tried = links = classes = None
+    tried = classes = None
     for turn in range(b.star_rounds + 1):
         now = stars
         if classes is not None:
@@ -233,7 +233,8 @@ def _links(reps: DataFrame, docs: DataFrame, b: Banding) -> DataFrame:
             break
         found = cut(_verified(pairs, sets, b))
         tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
+        # the classes so far stand for the links that made them
+        links = found if classes is None else found.union(classes.select(F.col("id").alias("a"), F.col("component").alias("b")))
         classes = components(links)
     if classes is None:
         return reps.select("id", F.col("id").alias("component")).limit(0)
