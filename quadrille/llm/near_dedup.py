@@ -28,6 +28,8 @@ from quadrille.llm.graph import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 MEMO_WORDS = 400_000
+#: buckets of 32,768 bits (4 KB each, 2 MB in all) that tell tasks which documents have a partner
+SIEVE_BUCKETS = 512
 
 
 @dataclass(frozen=True)
@@ -118,13 +120,39 @@ def _signatures(b: Banding):
     return run
 
 
-def _sets(b: Banding):
+def _place(doc_id: str):
+    return F.pmod(F.xxhash64(doc_id), F.lit(SIEVE_BUCKETS * 32768))
+
+
+def _sets(b: Banding, sieve):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.frombuffer(sieve.value, np.uint8)
         for pdf in batches:
+            at = pdf["place"].to_numpy()
+            pdf = pdf[(bits[at >> 3] >> (at & 7) & 1).astype(bool)]
             yield pd.DataFrame({"id": pdf["doc_id"], "members": [shingles(t, b.words).tobytes() for t in pdf["text"]]})
     return run
 
 
+def _sets_of(docs: DataFrame, members: DataFrame, b: Banding) -> DataFrame:
+    """(id, members): the shingle sets of the documents in ``members`` (doc_id), and few more.
+
+    A join would shuffle every text to find the few that are asked for.  The ids
+    set bits of a table of one size, whatever their number, and each task keeps
+    the texts whose bit is set; other ids that meet such a bit stay in, and no
+    later join asks for them.
+    """
+    place = _place("doc_id")
+    rows = (members.select(F.floor(place / 32768).alias("bucket"), (place % 32768).alias("bit"))
+            .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
+    table = bytearray(SIEVE_BUCKETS * 4096)
+    for r in rows:
+        table[r["bucket"] * 4096:(r["bucket"] + 1) * 4096] = r["bits"]
+    sieve = docs.sparkSession.sparkContext.broadcast(bytes(table))
+    asked = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", place.alias("place"))
+    return asked.mapInPandas(_sets(b, sieve), "id long, members binary")
+
+
 def _confirmed(b: Banding):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -204,7 +232,7 @@ def _links(reps: DataFrame, docs: DataFrame, b: Banding) -> DataFrame:
     stars = written(keyed.select("key", "id", "n").join(full, "key").select("id", "n", "hub", "hub_central").distinct(), "near-stars")
     # the sets of documents with a partner, computed once
     members = stars.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(docs.join(members, "doc_id").mapInPandas(_sets(b), "id long, members binary"), "near-sets")
+    sets = written(_sets_of(docs, members, b), "near-sets")
 
     hub_sizes = stars.select(F.col("id").alias("hub"), F.col("n").alias("other_n")).distinct()
     tried = classes = None
