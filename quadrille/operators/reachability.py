@@ -14,9 +14,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quadrille.session import global_index, group_index, stored
+from quadrille.session import global_index, group_index, shuffled, stored
 
 #: extra intervals are split at multiples of this, so that a position finds its own by equality
 PIECE = 4096
@@ -342,3 +342,58 @@ def reaching(ix: Index, asked: DataFrame, src: str, dst: str) -> DataFrame:
     """
     rows = labelled(ix, labelled(ix, asked.filter(F.col(src) != F.col(dst)), src, "_low"), dst, "_high")
     return above(ix, rows, "_low", "_high", "_up").filter("_up").select(*asked.columns)
+
+
+# -- ancestors as bits ------------------------------------------------------
+
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes(node, id)`` and distinct ``edges`` by id: numbers from 0, nodes
+    with most children first, so that what many nodes are below stands together."""
+    children = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("c"))
+    named = _nodes(edges).join(shuffled(children), "node", "left").fillna(0, ["c"])
+    nodes = stored(global_index(named, [F.desc("c"), F.col("node")], "id").select("node", "id"))
+    ends = [shuffled(nodes.select(F.col("node").alias(s), F.col("id").alias(f"_{s}"))) for s in ("src", "dst")]
+    return nodes, stored(edges.join(ends[0], "src").join(ends[1], "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct())
+
+
+def bit_of(node: str) -> tuple[Column, Column]:
+    """The block of a number and its bit there."""
+    return F.call_function("div", F.col(node), F.lit(64)), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(node) % 64).cast("int"))
+
+
+def as_bits(rows: DataFrame, by: str, node: str) -> DataFrame:
+    """(by, block, bits): the numbers ``node`` of each ``by``, 64 to a block."""
+    block, bit = bit_of(node)
+    return rows.groupBy(by, block.alias("block")).agg(F.bit_or(bit).alias("bits"))
+
+
+def listed(rows: DataFrame, *keep: str) -> DataFrame:
+    """(src, dst) for every bit of ``rows(src, block, bits)``, or ``keep`` in place of src."""
+    keep = keep or ("src",)
+    at = rows.select(*keep, "block", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_k"))
+    return at.filter(F.expr("shiftright(bits, _k) & 1") == 1).select(*keep, (F.col("block") * 64 + F.col("_k")).alias("dst"))
+
+
+def ancestor_bits(edges: DataFrame) -> DataFrame:
+    """(src, block, bits): all numbers that each number reaches over at least
+    one of ``edges`` (from ``numbered``), 64 to a block.
+
+    A round hands what is new at a node down to its children.  Nodes without
+    children, mostly the larger part, take no part in the rounds and gather from
+    their parents at the end.
+    """
+    have = shuffled(edges.select(F.col("dst").alias("src")).distinct())
+    step = stored(edges.join(have, "src", "left_semi"))
+    fresh = stored(as_bits(step, "src", "dst"))
+    seen = fresh
+    while not fresh.isEmpty():
+        sent = (step.join(shuffled(fresh.withColumnRenamed("src", "dst")), "dst")
+                .groupBy("src", "block").agg(F.bit_or("bits").alias("sent")))
+        found = sent.join(shuffled(seen), ["src", "block"], "left").select(
+            "src", "block", F.col("sent").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("long")))).alias("bits"))
+        fresh = stored(found.filter("bits <> 0"))
+        seen = stored(seen.unionByName(fresh).groupBy("src", "block").agg(F.bit_or("bits").alias("bits")))
+    ends = edges.join(have, "src", "left_anti")
+    passed = ends.join(shuffled(seen.withColumnRenamed("src", "dst")), "dst").select("src", "block", "bits")
+    low = passed.unionByName(as_bits(ends, "src", "dst")).groupBy("src", "block").agg(F.bit_or("bits").alias("bits"))
+    return stored(seen.unionByName(low))
