@@ -202,13 +202,13 @@ def order_buyer_nation_region(src):
 @query("J1", "compatible_join_with_unbound", data="customers suppliers", sql=f"""
     WITH sup AS (SELECT a.s AS sup, a.o AS n, b.o AS bal FROM {_q(NATION)} a LEFT JOIN {_q(BALANCE)} b ON a.s = b.s WHERE a.s LIKE '%supplier%'),
     cus AS (SELECT a.s AS c, a.o AS n, CASE WHEN cast(b.o AS decimal(18,2)) < 0 THEN b.o END AS bal
-      FROM {_q(NATION)} a JOIN {_q(BALANCE)} b ON a.s = b.s WHERE a.s LIKE '%customer/1%')
+      FROM {_q(NATION)} a JOIN {_q(BALANCE)} b ON a.s = b.s WHERE a.s LIKE '%customer%')
     SELECT sup, c, coalesce(sup.bal, cus.bal) AS bal FROM sup JOIN cus ON sup.n = cus.n
       AND (sup.bal = cus.bal OR sup.bal IS NULL OR cus.bal IS NULL)""")
 def compatible_join_with_unbound(src):
     s, c = src.quads("suppliers"), src.quads("customers")
     sup = pt.optional(pt.match(s, "?sup", NATION, "?n"), pt.match(s, "?sup", BALANCE, "?bal"))
-    cus = pt.bgp(c, [("?c", NATION, "?n"), ("?c", BALANCE, "?bal")]).filter(F.col("c.value").contains("customer/1"))
+    cus = pt.bgp(c, [("?c", NATION, "?n"), ("?c", BALANCE, "?bal")])
     cus = cus.withColumn("bal", F.when(t.term_cmp(F.col("bal"), "<", t.literal("0", t.INTEGER)), F.col("bal")))
     return lex(pt.join_compatible(sup, cus, ["bal"]), "sup", "c", "bal")
 
