@@ -7,8 +7,9 @@ per candidate from its parent, and only candidates whose interval meets the
 anchor's window are scored again.  The bounds leave out nothing: a candidate
 outside the interval cannot lie in the window.
 
-Trees and blocks meet as rows of a join on the block number, so both are small
-pieces that Spark shuffles, retries and spills; no vector passes the driver.
+Trees and blocks meet as rows of a product of two stored tables: each task
+reads its part of both, nothing is repeated in a shuffle and no vector passes
+the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quadrille.llm.common import col, written
+from quadrille.session import shuffled
 
 #: candidates that meet a tree at once, inside a task
 CHUNK = 2048
@@ -278,10 +280,14 @@ def _shape(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["parents"], np.int64), np.frombuffer(row["edges"], np.float64), np.frombuffer(row["depths"], np.int64)
 
 
-def _met(grown: DataFrame, packed: DataFrame, count: int) -> DataFrame:
-    """Each tree beside each block: a join on the block number."""
-    there = packed.select("slot", *[F.col(c).alias(f"c_{c}") for c in ("width", "ids", "labels", "vectors")])
-    return grown.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).join(there, "slot").drop("slot")
+def _met(grown: DataFrame, packed: DataFrame) -> DataFrame:
+    """Each tree beside each block, a task for each two partitions.
+
+    The planner knows only the compressed files, so it may send vectors to all
+    tasks through the driver unless told otherwise.
+    """
+    there = packed.select(*[F.col(c).alias(f"c_{c}") for c in ("width", "ids", "labels", "vectors")])
+    return there.crossJoin(grown.hint("shuffle_replicate_nl"))
 
 
 def _longs(*arrays: np.ndarray) -> list[pa.Array]:
@@ -312,13 +318,14 @@ def mined(df: DataFrame, is_anchor: Column, mining: Mining = Mining(), vec_id: s
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["tree"])), *_longs(tree.ids[place], ids, score)],
                                                  ["tree", "anchor_id", "positive_id", "positive_score"])
 
-    best = _met(grown, packed, count).mapInArrow(near, "tree long, anchor_id long, positive_id long, positive_score long")
+    best = _met(grown, packed).mapInArrow(near, "tree long, anchor_id long, positive_id long, positive_score long")
     order = W.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     best = written(best.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= mining.positives).drop("_rank"),
                    "negatives-positives")
     # at most tree_size anchors with their few positives a tree
     windows = best.groupBy("tree", "anchor_id").agg(F.sort_array(F.collect_list(F.struct("positive_id", "positive_score"))).alias("list"))
     windows = windows.groupBy("tree").agg(F.collect_list(F.struct("anchor_id", "list")).alias("windows"))
+    asking = written(grown.join(shuffled(windows), "tree"), "negatives-windows")
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +339,7 @@ def mined(df: DataFrame, is_anchor: Column, mining: Mining = Mining(), vec_id: s
                     _longs(tree.ids[place], np.array([p for p, _ in pairs], np.int64), np.array([s for _, s in pairs], np.int64), ids, score),
                     ["anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"])
 
-    found = _met(grown.join(windows, "tree"), packed, count).mapInArrow(
+    found = _met(asking, packed).mapInArrow(
         far, "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
     order = W.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= mining.negatives)
