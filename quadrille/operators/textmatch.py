@@ -1,10 +1,12 @@
 """Dictionary matching over documents: concepts, phrases, spans, evidence.
 
-Documents stay one row each.  Their distinct phrases and word sets are looked
-up by equi-join against the dictionary (planned as a broadcast where its table
-is small); only what is found is regrouped, as a small dictionary per document,
-and joined back to the text, where the choice among overlapping matches is
-made.  No token is shuffled, and a Python worker holds one document's tokens.
+Documents stay one row each.  A dictionary of at most HELD_ROWS entries and
+HELD_CHARS characters goes to the tasks, which match each text in one pass.
+Of a larger one, the distinct phrases and word sets of the documents are looked
+up by equi-join; only what is found is regrouped, as a small dictionary per
+document, and joined back to the text, where the choice among overlapping
+matches is made.  No token is shuffled, and a Python worker holds one
+document's tokens.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from quadrille.session import cut, spread, stored
 
 SPAN_DISTANCE = 4
 ROW_BATCH = 10_000
+#: a dictionary up to this size is held by every task
+HELD_ROWS, HELD_CHARS = 100_000, 4_000_000
 NAMING = [m.LABEL, m.SEE_ALSO, m.ALT]
 TOKENS = T.StructType([
     T.StructField("line", T.ArrayType(T.IntegerType())), T.StructField("start", T.ArrayType(T.IntegerType())),
@@ -36,19 +40,29 @@ _TOKEN = re.compile(rf"[{_BREAKS}]|\w+(?:['’ʼ‘`´]\w+)*|[^\w\s]")
 _QUOTES = str.maketrans({c: "'" for c in "’ʼ‘`´"} | {c: '"' for c in "“”„«»"})
 
 
+_NORMS: dict[str, str] = {}     # words seen by this process, NORMS_KEPT at most
+NORMS_KEPT = 200_000
+
+
 def _token_lists(text: str | None) -> tuple[list, list, list, list]:
     """Code point offsets of every word and punctuation mark, as parallel
     lists line, start, end, norm; Spark's regex functions return no positions."""
     lines, starts, ends, norms, line = [], [], [], [], 0
     for hit in _TOKEN.finditer(text or ""):
         word = hit.group()
-        if word in _BREAKS:
+        norm = _NORMS.get(word)
+        if norm is None:
+            norm = "" if word in _BREAKS else word.lower().translate(_QUOTES)
+            if len(_NORMS) < NORMS_KEPT and len(word) < 100:
+                _NORMS[word] = norm
+        if not norm:
             line += 1
             continue
+        start, end = hit.span()
         lines.append(line)
-        starts.append(hit.start())
-        ends.append(hit.end())
-        norms.append(word.lower().translate(_QUOTES))
+        starts.append(start)
+        ends.append(end)
+        norms.append(norm)
     return lines, starts, ends, norms
 
 
@@ -58,6 +72,11 @@ def _tokens(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_token_lists(t) for t in texts], columns=["line", "start", "end", "norm"])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _norms(texts: pd.Series) -> pd.Series:
+    return pd.Series([_token_lists(t)[3] for t in texts], dtype=object)
+
+
 def tokenize(docs: DataFrame) -> DataFrame:
     """(doc_id, text), in enough tasks: each pass forms the tokens of a whole
     text where it needs them."""
@@ -141,6 +160,33 @@ def span_rules(aliases: DataFrame) -> DataFrame:
 
 # -- phrase matching --------------------------------------------------------
 
+class Lookup:
+    """Phrases (key to canonical name) and rules (word set to canonical name
+    and rule) that a text is matched against."""
+
+    def __init__(self, names: dict[str, str], rules: dict[str, tuple[str, str]] | None = None):
+        self.names, self.rules = names, rules or {}
+        lengths: dict[str, set[int]] = {}
+        for key in names:       # tokens hold no blanks
+            lengths.setdefault(key.split(" ", 1)[0], set()).add(key.count(" ") + 1)
+        self.lengths = {word: sorted(n) for word, n in lengths.items()}     # of the phrases that begin with a word
+        self.sizes, self.near = set(), {}       # of word sets; words in a rule with a word
+        for key in self.rules:
+            size, *words = key.split(_SET)
+            self.sizes.add(int(size))
+            for word in words:
+                self.near.setdefault(word, set()).update(words)
+        self.sizes = sorted(self.sizes)
+
+
+def _held(table: DataFrame, *columns: str) -> list[tuple] | None:
+    """The rows of a stored dictionary table if every task can hold them, else None."""
+    rows, chars = table.agg(F.count(F.lit(1)), F.sum(sum((F.length(c) for c in columns), F.lit(0)))).first()
+    if rows > HELD_ROWS or (chars or 0) > HELD_CHARS:
+        return None
+    return [tuple(r) for r in table.select(*columns).collect()]
+
+
 def _looked_up(docs: DataFrame, found: DataFrame, table: DataFrame) -> DataFrame:
     """``docs`` with what ``table(key, ...)`` holds for the keys ``found``
     ``(doc_id, key)`` in them, one list a column of ``table``; NULL if nothing."""
@@ -162,24 +208,23 @@ def _grams(text: str, lengths: list[int]) -> Iterator[tuple]:
 
 
 def _with_phrases(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """(doc_id, text, keys, names): the dictionary phrases that occur in each document."""
-    entries = stored(entries)      # a table has a size, so the planner can broadcast a small one
+    """(doc_id, text, keys, names): the dictionary phrases that occur in each document;
+    ``entries`` is a stored table."""
     lengths = sorted(r[0] for r in entries.select("length").distinct().collect())   # the few phrase lengths in use
     found = _each_document(docs, lambda text: _grams(text, lengths), {"key": _TEXT})
     return _looked_up(docs, found, entries.select("key", "canonical")).toDF("doc_id", "text", "keys", "names")
 
 
-def _chosen(tokens: tuple, names: dict[str, str]) -> list[tuple[int, int, str]]:
+def _chosen(tokens: tuple, own: Lookup) -> list[tuple[int, int, str]]:
     """Phrases (first token, length, key), longest first, then leftmost, without overlap inside a line."""
     lines, _, _, norms = tokens
-    lengths = sorted({key.count(" ") + 1 for key in names})     # tokens hold no blanks
     hits = []
-    for i, line in enumerate(lines):
-        for n in lengths:
-            if i + n > len(lines) or lines[i + n - 1] != line:
+    for i, word in enumerate(norms):
+        for n in own.lengths.get(word, ()):
+            if i + n > len(lines) or lines[i + n - 1] != lines[i]:
                 break
-            key = " ".join(norms[i:i + n])
-            if key in names:
+            key = word if n == 1 else " ".join(norms[i:i + n])
+            if key in own.names:
                 hits.append((-n, i, key))
     taken, kept = bytearray(len(lines)), []
     for n, i, key in sorted(hits):
@@ -192,15 +237,20 @@ def _chosen(tokens: tuple, names: dict[str, str]) -> list[tuple[int, int, str]]:
 def match_exact(tokens: DataFrame, entries: DataFrame) -> DataFrame:
     """Phrase matches, longest first, without overlap inside a line:
     ``(doc_id, line, first, last, start, end, key, canonical)``."""
+    entries = stored(entries)      # a table has a size, so the planner can broadcast a small one
+    fields = {"line": _INT, "first": _INT, "last": _INT, "start": _INT, "end": _INT, "key": _TEXT, "canonical": _TEXT}
 
-    def rows(text: str, keys: list[str], names: list[str]) -> Iterator[tuple]:
-        canonical = dict(zip(keys, names, strict=True))
-        lines, starts, ends, _ = own = _token_lists(text)
-        for i, n, key in _chosen(own, canonical):
-            yield lines[i], i + 1, i + n, starts[i], ends[i + n - 1], key, canonical[key]
+    def rows(text: str, own: Lookup) -> Iterator[tuple]:
+        lines, starts, ends, _ = tokens = _token_lists(text)
+        for i, n, key in _chosen(tokens, own):
+            yield lines[i], i + 1, i + n, starts[i], ends[i + n - 1], key, own.names[key]
 
-    return _each_document(_with_phrases(tokens, entries).filter("keys IS NOT NULL"), rows, {
-        "line": _INT, "first": _INT, "last": _INT, "start": _INT, "end": _INT, "key": _TEXT, "canonical": _TEXT})
+    held = _held(entries, "key", "canonical")
+    if held is not None:
+        whole = Lookup(dict(held))
+        return _each_document(tokens, lambda text: rows(text, whole), fields)
+    return _each_document(_with_phrases(tokens, entries).filter("keys IS NOT NULL"),
+                          lambda text, keys, names: rows(text, Lookup(dict(zip(keys, names, strict=True)))), fields)
 
 
 # -- spans ------------------------------------------------------------------
@@ -220,50 +270,60 @@ def _stream(tokens: tuple, chosen: list[tuple[int, int, str]], names: dict[str,
     return out
 
 
-def _windows(items: list[tuple[int, int, str]], sizes: list[int], distance: int) -> Iterator[tuple[str, list[int]]]:
+def _windows(items: list[tuple[int, int, str]], sizes: list[int], distance: int, near: dict[str, set[str]] | None = None
+             ) -> Iterator[tuple[str, list[int]]]:
     """Word sets of each anchor and of first sights of other words within
-    ``distance`` places after it: (key of the set, places)."""
-    for a in range(len(items)):
-        firsts, seen = [], set()
-        for b in range(a, min(a + distance + 1, len(items))):
-            if items[b][2] not in seen:
-                seen.add(items[b][2])
+    ``distance`` places after it: (key of the set, places).  ``near`` are the
+    words that can stand with a word; others are left out."""
+    for a, (_, _, anchor) in enumerate(items):
+        fits = None if near is None else near.get(anchor)
+        if near is not None and fits is None:
+            continue
+        firsts, seen = [], {anchor}
+        for b in range(a + 1, min(a + distance + 1, len(items))):
+            word = items[b][2]
+            if word not in seen and (fits is None or word in fits):
+                seen.add(word)
                 firsts.append(b)
-        for n in sizes:
-            for others in combinations(firsts[1:], n - 1):
-                places = [a, *others]
-                yield _SET.join([str(n), *sorted(items[b][2] for b in places)]), places
+        if firsts:
+            for n in sizes:
+                for others in combinations(firsts, n - 1):
+                    places = [a, *others]
+                    yield _SET.join([str(n), *sorted(items[b][2] for b in places)]), places
 
 
-def _with_rules(docs: DataFrame, rules: DataFrame, distance: int) -> DataFrame:
-    """Adds (sets, canonicals, rules, needs): the first rule of each word set
-    that occurs closely enough in a document; of several rules with the same
-    words only the first can keep a place."""
+def _word_sets(rules: DataFrame, distance: int) -> DataFrame:
+    """(key, n, canonical, rule): of several rules with the same words only the
+    first can keep a place."""
     n = F.size("words")
     key = F.concat_ws(_SET, n.cast("string"), F.array_sort("words"))
     best = rules.filter(n <= distance + 1).groupBy(key.alias("key"), n.alias("n")).agg(F.min(F.struct("canonical", "rule")).alias("b"))
-    best = stored(best.select("key", "n", "b.canonical", "b.rule"))
+    return stored(best.select("key", "n", "b.canonical", "b.rule"))
+
+
+def _with_rules(docs: DataFrame, best: DataFrame, distance: int) -> DataFrame:
+    """Adds (sets, canonicals, rules): what ``_word_sets`` holds of the word sets
+    that occur closely enough in a document."""
     sizes = sorted(r[0] for r in best.select("n").distinct().collect())     # at most distance
 
     def rows(text: str, keys: list[str] | None, names: list[str] | None) -> Iterator[tuple]:
-        known = dict(zip(keys or [], names or [], strict=True))
+        known = Lookup(dict(zip(keys or [], names or [], strict=True)))
         own = _token_lists(text)
-        lines = _stream(own, _chosen(own, known), known)
+        lines = _stream(own, _chosen(own, known), known.names)
         return ((key,) for key in {key for items in lines.values() for key, _ in _windows(items, sizes, distance)})
 
     out = _looked_up(docs, _each_document(docs, rows, {"key": _TEXT}), best.select("key", "canonical", "rule"))
     return out.toDF("doc_id", "text", "keys", "names", "sets", "canonicals", "rules")
 
 
-def _line_spans(items: list, known: dict[str, tuple[str, str]], distance: int) -> list[tuple]:
+def _line_spans(items: list, own: Lookup, distance: int) -> list[tuple]:
     """Spans (start, end, canonical, words) of one line: all words of a rule
     in any order within ``distance`` places; tightest first, without overlap."""
-    sizes = sorted({int(key.split(_SET, 1)[0]) for key in known})
     found = []
-    for key, places in _windows(items, sizes, distance):
-        if key in known:
+    for key, places in _windows(items, own.sizes, distance, own.near):
+        if key in own.rules:
             first, last = places[0], places[-1]
-            found.append((last - first, first, last, items[first][0], items[last][1], *known[key], [items[b][2] for b in places]))
+            found.append((last - first, first, last, items[first][0], items[last][1], *own.rules[key], [items[b][2] for b in places]))
     taken, kept = bytearray(len(items)), []
     for _, first, last, start, end, canonical, _, words in sorted(found):
         if 1 not in taken[first:last + 1]:
@@ -275,20 +335,29 @@ def _line_spans(items: list, known: dict[str, tuple[str, str]], distance: int) -
 def _nested(docs: DataFrame, aliases: DataFrame, distance: int, out: Callable, fields: dict) -> DataFrame:
     """``out(line, text, exact, spans)`` of every line with a match; ``exact``
     are (start, end, canonical, key), ``spans`` lie in order."""
-    ready = _with_rules(_with_phrases(docs, phrases(aliases)), span_rules(aliases), distance)
+    entries, sets = stored(phrases(aliases)), _word_sets(span_rules(aliases), distance)
 
-    def rows(text: str, keys: list | None, names: list | None, sets: list | None, canonicals: list | None, rules: list | None) -> Iterator[tuple]:
-        known = dict(zip(keys or [], names or [], strict=True))
-        named = dict(zip(sets or [], zip(canonicals or [], rules or [], strict=True), strict=True))
-        lines, starts, ends, _ = own = _token_lists(text)
-        chosen = _chosen(own, known)
+    def rows(text: str, own: Lookup) -> Iterator[tuple]:
+        lines, starts, ends, _ = tokens = _token_lists(text)
+        chosen = _chosen(tokens, own)
         exact: dict[int, list] = {}
         for i, n, key in chosen:
-            exact.setdefault(lines[i], []).append((starts[i], ends[i + n - 1], known[key], key))
-        for line, items in _stream(own, chosen, known).items():
-            yield from out(line, text, exact.get(line, []), _line_spans(items, named, distance) if named else [])
+            exact.setdefault(lines[i], []).append((starts[i], ends[i + n - 1], own.names[key], key))
+        for line, items in _stream(tokens, chosen, own.names).items():
+            yield from out(line, text, exact.get(line, []), _line_spans(items, own, distance) if own.rules else [])
+
+    names = _held(entries, "key", "canonical")
+    rules = None if names is None else _held(sets, "key", "canonical", "rule")
+    if rules is not None:
+        whole = Lookup(dict(names), {key: (canonical, rule) for key, canonical, rule in rules})
+        return _each_document(docs, lambda text: rows(text, whole), fields)
+    ready = _with_rules(_with_phrases(docs, entries), sets, distance)
+
+    def found(text: str, keys: list | None, names: list | None, sets: list | None, canonicals: list | None, rules: list | None) -> Iterator[tuple]:
+        known = dict(zip(keys or [], names or [], strict=True))
+        return rows(text, Lookup(known, dict(zip(sets or [], zip(canonicals or [], rules or [], strict=True), strict=True))))
 
-    return _each_document(ready.filter("keys IS NOT NULL OR sets IS NOT NULL"), rows, fields)
+    return _each_document(ready.filter("keys IS NOT NULL OR sets IS NOT NULL"), found, fields)
 
 
 def _around(start: int, end: int, spans: list[tuple], starts: list[int]) -> tuple | None:
@@ -328,7 +397,7 @@ def covered_matches(tokens: DataFrame, aliases: DataFrame, distance: int = SPAN_
 def span_offsets(matches: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds the matched slice of the text and whether it really holds the
     matched words; ordered by start, widest first."""
-    rows, found = matches, _tokens(F.col("slice"))["norm"]
+    rows, found = matches, _norms(F.col("slice"))
     if "slice" not in matches.columns:      # else the matches bring it along
         piece = F.substr(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
         rows = matches.join(docs.select("doc_id", "text"), "doc_id").withColumn("slice", piece)
